@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import leak, neardup, tokens
+from folio.llm import leak, names, neardup, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(names.link_names(_table(spark, sf_dir, "papers")))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_names(_table(spark, sf_dir, "papers"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leak.find_leaks(_table(spark, sf_dir, "papers"), _table(spark, sf_dir, "golden"))
     return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("qid"))
@@ -33,7 +41,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p5_found, p5_groups, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p5_found, p5_groups, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
