@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import leak, names, neardup, tokens
+from folio.llm import leak, names, neardup, sentences, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("qid"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = _table(spark, sf_dir, "papers")
+    units = sentences.split(papers, sentences.learn(papers))
+    return units.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts")).select(F.col("id").alias("doc_id"), F.explode("starts").alias("start_char"))
+
+
+def p4_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = sentences.learn(_table(spark, sf_dir, "papers"))
+    return model.select("lang", "kind", "word", "follower", F.round("score", 6).alias("score"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.group_near_duplicates(_table(spark, sf_dir, "papers"))
     return neardup.duplicate_pairs(groups).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -41,7 +52,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p5_found, p5_groups, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p4_found, p4_model, p5_found, p5_groups, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
