@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import leak, names, neardup, sentences, tokens
+from folio.llm import leak, mixture, names, neardup, pieces, sentences, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.select(F.col("id").alias("doc_id"), F.col("item").alias("qid"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces.split_oversized(pieces.items_of(_table(spark, sf_dir, "papers")))
+    return cut.where("piece = 1").select(F.col("id").alias("doc_id"), "pos").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split_oversized(pieces.items_of(_table(spark, sf_dir, "papers"))).withColumnRenamed("id", "doc_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _table(spark, sf_dir, "papers")
     units = sentences.split(papers, sentences.learn(papers))
@@ -51,9 +60,24 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).documents
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).shares
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p4_found, p4_model, p5_found, p5_groups, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p3_found, p3_pieces, p4_found, p4_model, p5_found, p5_groups, p6_ids, p7_mixture, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """
+            SELECT DISTINCT doc_id, pos FROM (
+                SELECT doc_id, s.pos AS pos, s.body AS body FROM (SELECT doc_id, unnest(sections) AS s FROM papers)
+                UNION ALL
+                SELECT doc_id, CAST(-1 AS INTEGER), text FROM papers WHERE sections IS NULL OR len(sections) = 0
+            ) WHERE length(body) > 900""",
+    }

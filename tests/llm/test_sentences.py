@@ -70,12 +70,12 @@ def test_statistics_are_learned_and_used(spark):
 
 
 def test_cover_and_odd_texts(spark):
-    odd = [("a", None), ("b", ""), ("c", " \n\t "), ("d", "."), ("e", "...\n\n..."), ("f", "x" * 100_000), ("g", "Some words end. " * 30_000), ("h", "\u0000\u0007 one"), ("i", "Same."), ("i", "Same."), (None, "Null id. Kept.")]
+    odd = [("a", None), ("b", ""), ("c", " \n\t "), ("d", "."), ("e", "...\n\n..."), ("f", "x" * 100_000), ("g", "\n\n".join(_corpus() * 20)), ("h", "\u0000\u0007 one"), ("i", "Same."), ("i", "Same."), (None, "Null id. Kept.")]
     df = spark.createDataFrame(odd, "doc_id string, text string")
     rows = S.split(df, S.learn(df)).collect()
     got = {r.id: r.starts for r in rows}
     assert set(got) == {"d", "e", "f", "g", "h", "i", None} and len(rows) == 7
-    assert got["e"] == [0, 5] and got["f"] == [0] and len(got["g"]) == 30_000
+    assert got["e"] == [0, 5] and got["f"] == [0] and len(got["g"]) > 30_000
     texts = {k: v for k, v in odd}
     for k, starts in got.items():
         assert not texts[k][: starts[0]].strip() and all(not texts[k][s].isspace() for s in starts)
