@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import leak, mixture, names, neardup, pieces, sentences, tokens
+from folio.llm import leak, mixture, names, neardup, pieces, quality, sentences, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +68,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets")).shares
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.outlier_scores(quality.document_statistics(_table(spark, sf_dir, "documents")))
+    return quality.not_prose(scored).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.outlier_scores(quality.document_statistics(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p3_found, p3_pieces, p4_found, p4_model, p5_found, p5_groups, p6_ids, p7_mixture, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_entities, p2_found, p3_found, p3_pieces, p4_found, p4_model, p5_found, p5_groups, p6_ids, p7_mixture, p7_shares, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,10 +46,10 @@ _FUNCTION_WORDS = {
     "en": "the of and in to was with for were that by from",
     "de": "der die das und wurde war mit nicht ist von den im bei eine zu",
     "fr": "le les et la des est une du dans au sur que pour ont été",
-    "es": "el los las y en la del se una que por con para fue",
-    "it": "il gli che di e della per con una non sono nel",
-    "pt": "o os as e da do em uma que não com para foi",
-    "nl": "de het een en van werd niet met voor op zijn",
+    "es": "el los las en la del se una que por con para fue",
+    "it": "il gli che di della per con una non sono nel",
+    "pt": "os da do em uma que não com para foi",
+    "nl": "het een en van werd niet met voor op zijn",
 }
 _BY_WORD: dict[str, list[str]] = {}
 for _lang, _list in _FUNCTION_WORDS.items():
@@ -67,10 +67,16 @@ def language(text: str, tokens: list[str]) -> str:
         if counts[best] * 4 > sum(map(str.isalpha, text)):
             return best
     votes: Counter = Counter()
+    kinds: Counter = Counter()
     for w, n in Counter(tokens).items():
         for lang in _BY_WORD.get(w, ()):
             votes[lang] += n
-    return votes.most_common(1)[0][0] if votes else "latin"
+            kinds[lang] += 1
+    votes = Counter({lang: n for lang, n in votes.items() if kinds[lang] > 1})
+    if not votes:
+        return "latin"
+    best, n = votes.most_common(1)[0]
+    return best if n * 20 >= len(tokens) else "latin"
 
 
 _EDGE = "\"'“”„«»‚‘’()[]{}<>*¿¡—–"
