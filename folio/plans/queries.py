@@ -17,12 +17,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 #: common table expressions shared by the SQL below
-TOKENS = r"""tok AS (SELECT chunk_id, flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), t -> CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END)) AS t
+TOKENS = r"""tok AS (SELECT chunk_id, flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END)) AS t
     FROM (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL)),
 post AS (SELECT chunk_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT chunk_id, max(dl) AS dl FROM post GROUP BY 1)),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY 1),
-asked AS (SELECT DISTINCT qid, unnest(flatten(list_transform(regexp_extract_all(lower(question), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), t -> CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END))) AS term FROM golden)"""
+asked AS (SELECT DISTINCT qid, unnest(flatten(list_transform(regexp_extract_all(lower(question), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END))) AS term FROM golden)"""
 BM25 = """scored AS (SELECT qid, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, list_sort(list(DISTINCT term)) AS m FROM {post} JOIN asked USING (term) JOIN idf USING (term), st GROUP BY 1, 2),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM scored)"""
 HITS = "h AS (SELECT run_id, query_id, chunk_id, min(doc_id) AS doc_id, min(rank) AS rank, max(dense) AS dense, max(sparse) AS sparse FROM hits GROUP BY 1, 2, 3)"
@@ -33,7 +33,7 @@ METRICS = DOCS + """, e AS (SELECT DISTINCT qid, unnest(gold_doc_ids) AS doc_id
 f AS (SELECT d.*, row_number() OVER (PARTITION BY run_id, query_id ORDER BY doc_rank) AS nth FROM d JOIN e ON d.query_id = e.qid AND d.doc_id = e.doc_id),
 s AS (SELECT run_id, query_id, count(*) FILTER (doc_rank <= 1) AS g1, count(*) FILTER (doc_rank <= 3) AS g3, count(*) FILTER (doc_rank <= 5) AS g5, count(*) FILTER (doc_rank <= 10) AS g10, min(doc_rank) AS first, sum(nth / doc_rank) AS ap, sum(CASE WHEN doc_rank <= 10 THEN 1 / log2(doc_rank + 1.0) END) AS dcg FROM f GROUP BY 1, 2),
 m AS (SELECT a.run_id, a.query_id, n_gold, round(coalesce(g1, 0) / n_gold, 6) AS recall_1, round(coalesce(g3, 0) / n_gold, 6) AS recall_3, round(coalesce(g5, 0) / n_gold, 6) AS recall_5, round(coalesce(g10, 0) / n_gold, 6) AS recall_10, round(coalesce(g5, 0) / 5, 6) AS precision_5,
-CAST(coalesce(g5, 0) > 0 AS INTEGER) AS hit_5, round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS rr, round(coalesce(ap, 0) / n_gold, 6) AS ap, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), i -> 1 / log2(i + 1.0))), 6) AS ndcg_10, CAST(coalesce(first, 0) AS INTEGER) AS first_rank
+CAST(coalesce(g5, 0) > 0 AS INTEGER) AS hit_5, round(coalesce(1.0 / first, 0)::DOUBLE, 6) AS rr, round(coalesce(ap, 0) / n_gold, 6) AS ap, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n_gold, 10) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg_10, CAST(coalesce(first, 0) AS INTEGER) AS first_rank
 FROM (SELECT DISTINCT run_id, query_id FROM d) a JOIN ng ON a.query_id = ng.qid LEFT JOIN s USING (run_id, query_id))"""
 SIGNALS = """sg AS (SELECT run_id, query_id, max(CASE WHEN rank = 1 THEN dense END) AS top_dense, avg(CASE WHEN rank <= 3 THEN dense END) AS mean_top3, max(CASE WHEN rank = 1 THEN sparse END) AS top_sparse, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS score_gap, CAST(max(CASE WHEN rank = 1 THEN len(list_distinct(matched_terms)) END) AS DOUBLE) AS n_matched FROM (SELECT DISTINCT * FROM hits) GROUP BY 1, 2),
 lg AS (SELECT run_id, query_id, unnest([{{'signal': 'top_dense', 'x': top_dense}}, {{'signal': 'mean_top3', 'x': mean_top3}}, {{'signal': 'top_sparse', 'x': top_sparse}}, {{'signal': 'score_gap', 'x': score_gap}}, {{'signal': 'n_matched', 'x': n_matched}}]) AS c FROM sg),
@@ -179,9 +179,9 @@ def _labelled(s: SparkSession, d: str) -> DataFrame:
     return _confidence(s, d).join(gold, "query_id").where("confidence is not null").select(F.round("confidence", 6).alias("confidence"), "answerable")
 
 
-@query(f"WITH {SIGNALS} SELECT run_id, query_id, round(top_dense, 6) AS top_dense, round(mean_top3, 6) AS mean_top3, round(top_sparse, 6) AS top_sparse, round(score_gap, 6) AS score_gap, n_matched FROM sg")
+@query(f"WITH {SIGNALS} SELECT run_id, query_id, round(top_dense, 6) AS top_dense, round(mean_top3 + 1e-9, 6) AS mean_top3, round(top_sparse, 6) AS top_sparse, round(score_gap, 6) AS score_gap, n_matched FROM sg")
 def confidence_signals(s: SparkSession, d: str) -> DataFrame:
-    return E.confidence_signals(table(s, d, "hits").distinct()).select("run_id", "query_id", *[F.round(c, 6).alias(c) for c in ("top_dense", "mean_top3", "top_sparse", "score_gap")], "n_matched")
+    return E.confidence_signals(table(s, d, "hits").distinct()).select("run_id", "query_id", *[F.round(F.col(c) + (1e-9 if c == "mean_top3" else 0.0), 6).alias(c) for c in ("top_dense", "mean_top3", "top_sparse", "score_gap")], "n_matched")
 
 
 @query(f"WITH {SIGNALS} SELECT run_id, query_id, round(confidence, 6) AS confidence, coalesce(round(confidence, 6) < -0.325, true) AS refused FROM cf")
@@ -270,7 +270,7 @@ def corpus_counts(s: SparkSession, d: str) -> DataFrame:
     return _papers(s, d).groupingSets([["stratum"], ["source"], ["topic"]], "stratum", "source", "topic").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT doc_id, CASE WHEN coalesce(len(k), 0) = 0 THEN 'Unknown' ELSE array_to_string(k[1:3], ', ') || CASE WHEN len(k) > 3 THEN ' et al.' ELSE '' END END AS authors, coalesce(CAST(nullif(year, 0) AS VARCHAR), 'n.d.') AS year, coalesce(nullif(url, ''), 'https://doi.org/' || doi) AS url, substr(sha256(concat_ws(chr(31), doc_id, title)), 1, 16) AS hash FROM (SELECT *, list_filter(authors, a -> a IS NOT NULL) AS k FROM papers)")
+@query("SELECT DISTINCT doc_id, CASE WHEN coalesce(len(k), 0) = 0 THEN 'Unknown' ELSE array_to_string(k[1:3], ', ') || CASE WHEN len(k) > 3 THEN ' et al.' ELSE '' END END AS authors, coalesce(CAST(nullif(year, 0) AS VARCHAR), 'n.d.') AS year, coalesce(nullif(url, ''), 'https://doi.org/' || doi) AS url, substr(sha256(concat_ws(chr(31), doc_id, title)), 1, 16) AS hash FROM (SELECT *, list_filter(authors, lambda a: a IS NOT NULL) AS k FROM papers)")
 def citation_fields(s: SparkSession, d: str) -> DataFrame:
     p = _papers(s, d)
     return p.select("doc_id", X.author_list(F.col("authors")).alias("authors"), F.coalesce(F.nullif("year", F.lit(0)).cast("string"), F.lit("n.d.")).alias("year"), F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit("https://doi.org/"), "doi")).alias("url"), X.stable_hash(F.col("doc_id"), F.col("title")).alias("hash")).distinct()
@@ -301,7 +301,7 @@ def absent_terms(s: SparkSession, d: str) -> DataFrame:
     return C.contained(table(s, d, "golden").select("qid", F.explode("absent_terms").alias("term")), _papers(s, d))
 
 
-@query("SELECT qid, terms[1] AS first_term, count(*) AS n, min(doc_id) AS doc_id FROM (SELECT qid, unnest(must_not_cooccur) AS terms FROM golden) g JOIN (SELECT DISTINCT doc_id, lower(concat_ws(' ', title, text)) AS t FROM papers) p ON len(list_filter(terms, x -> NOT contains(t, lower(x)))) = 0 GROUP BY 1, 2")
+@query("SELECT qid, terms[1] AS first_term, count(*) AS n, min(doc_id) AS doc_id FROM (SELECT qid, unnest(must_not_cooccur) AS terms FROM golden) g JOIN (SELECT DISTINCT doc_id, lower(concat_ws(' ', title, text)) AS t FROM papers) p ON len(list_filter(terms, lambda x: NOT contains(t, lower(x)))) = 0 GROUP BY 1, 2")
 def cooccurrences(s: SparkSession, d: str) -> DataFrame:
     groups = F.broadcast(table(s, d, "golden").select("qid", F.explode("must_not_cooccur").alias("terms")))  # a few hundred questions
     docs = _papers(s, d).select("doc_id", F.lower(F.concat_ws(" ", "title", "text")).alias("t")).distinct()
