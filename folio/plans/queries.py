@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions import text as X
+from folio.operators import citations as A
 from folio.operators import corpus as C
 from folio.operators import evaluation as E
 from folio.operators import retrieval as R
@@ -327,3 +328,71 @@ def context_precision(s: SparkSession, d: str) -> DataFrame:
     pairs = table(s, d, "hits").select(F.col("query_id").alias("qid"), "doc_id").distinct().join(golden, "qid")
     gold = F.when(F.array_contains("gold_doc_ids", F.col("doc_id")), 1.0).otherwise(0.0)
     return pairs.groupBy("qid").agg(F.round(F.avg(gold), 6).alias("context_precision"), F.count("doc_id").alias("docs"))
+
+
+ANSWERS = """a AS (SELECT run_id, query_id, concat('Found ', count(DISTINCT chunk_id), ' passages [1]. The best are near [2, ', 3 + run_id % 4, ']. No source says more. See also [', 9 + run_id % 5, ', 1].') AS answer FROM hits GROUP BY 1, 2),
+mk AS (SELECT DISTINCT run_id, query_id, CAST(trim(unnest(string_split(g, ','))) AS INTEGER) AS marker FROM (SELECT run_id, query_id, unnest(regexp_extract_all(answer, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1)) AS g FROM a)),
+rk AS (SELECT run_id, query_id, rank AS marker, min(doc_id) AS doc_id FROM hits GROUP BY 1, 2, 3)"""
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    """Answers with markers, some of them fabricated, made from the hits."""
+    text = F.concat(F.lit("Found "), F.countDistinct("chunk_id").cast("string"), F.lit(" passages [1]. The best are near [2, "), (3 + F.col("run_id") % 4).cast("string"), F.lit("]. No source says more. See also ["), (9 + F.col("run_id") % 5).cast("string"), F.lit(", 1]."))
+    return table(s, d, "hits").groupBy("run_id", "query_id").agg(text.alias("answer"))
+
+
+@query(f"WITH {ANSWERS} SELECT * FROM mk")
+def citation_markers(s: SparkSession, d: str) -> DataFrame:
+    return A.cited(_answers(s, d))
+
+
+@query(f"WITH {ANSWERS} SELECT run_id, query_id, marker, doc_id FROM mk JOIN rk USING (run_id, query_id, marker)")
+def resolve_citations(s: SparkSession, d: str) -> DataFrame:
+    return A.resolve_citations(_answers(s, d), table(s, d, "hits"))[0].select("run_id", "query_id", "marker", "doc_id")
+
+
+@query(f"WITH {ANSWERS} SELECT run_id, query_id, marker FROM mk ANTI JOIN rk USING (run_id, query_id, marker)")
+def fabricated_markers(s: SparkSession, d: str) -> DataFrame:
+    return A.resolve_citations(_answers(s, d), table(s, d, "hits"))[1].select("run_id", "query_id", "marker")
+
+
+@query(f"WITH {ANSWERS} SELECT run_id, query_id, 0.75::DOUBLE AS citation_coverage, count(DISTINCT doc_id) AS unique_sources, count(*) FILTER (rk.marker IS NULL) AS fabricated FROM mk LEFT JOIN rk USING (run_id, query_id, marker) GROUP BY 1, 2")
+def citation_audit(s: SparkSession, d: str) -> DataFrame:
+    return A.audit(_answers(s, d), table(s, d, "hits"))
+
+
+@query(f"WITH {ANSWERS} SELECT run_id, query_id, round(avg(CASE WHEN coalesce(list_contains(gold_doc_ids, doc_id), false) THEN 1.0::DOUBLE ELSE 0 END), 6) AS citation_accuracy FROM mk JOIN rk USING (run_id, query_id, marker) JOIN golden ON query_id = qid GROUP BY 1, 2")
+def citation_accuracy(s: SparkSession, d: str) -> DataFrame:
+    return A.citation_accuracy(A.resolve_citations(_answers(s, d), table(s, d, "hits"))[0], table(s, d, "golden"))
+
+
+@query("WITH p AS (SELECT DISTINCT qid, note, unnest(answer_points) AS point FROM golden) SELECT qid, round(avg(CASE WHEN coalesce(contains(lower(note), lower(point)), false) THEN 1.0::DOUBLE ELSE 0 END), 6) AS correctness, list_sort(coalesce(list(point) FILTER (NOT coalesce(contains(lower(note), lower(point)), false)), [])) AS missing FROM p WHERE point IS NOT NULL GROUP BY 1")
+def answer_correctness(s: SparkSession, d: str) -> DataFrame:
+    golden = table(s, d, "golden")
+    return A.answer_correctness(golden.select("qid", "note"), golden, "note")
+
+
+@query(f"WITH {SIGNALS}, x AS (SELECT coalesce(round(confidence, 6) < -0.325, true) AS r, expected = 'answer' AS a FROM cf JOIN golden ON query_id = qid) SELECT count(*) AS n, count(*) FILTER (r) AS refused, round(avg(CASE WHEN a <> r THEN 1.0::DOUBLE ELSE 0 END), 6) AS refusal_accuracy, count(*) FILTER (NOT a AND NOT r) AS incorrectly_answered, count(*) FILTER (a AND r) AS over_refused FROM x")
+def refusal_block(s: SparkSession, d: str) -> DataFrame:
+    return A.refusal_block(E.decide(_confidence(s, d).withColumn("confidence", F.round("confidence", 6)), -0.325), table(s, d, "golden"))
+
+
+@query(f"WITH {TOKENS}, {BM25.format(post='post')}, w AS (SELECT qid, rank, text, sum(length(text)) OVER (PARTITION BY qid ORDER BY rank) AS n FROM top JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) USING (chunk_id) WHERE rank <= 6), c AS (SELECT qid, string_agg('[' || rank || '] ' || text, E'\n' ORDER BY rank) AS context FROM w WHERE n <= 2200 GROUP BY 1) SELECT qid, md5('QUESTION: ' || question || E'\nCONTEXT:\n' || coalesce(context, '')) AS prompt FROM golden LEFT JOIN c USING (qid)")
+def prompt_assembly(s: SparkSession, d: str) -> DataFrame:
+    golden = table(s, d, "golden")
+    hits = R.bm25(golden, _post(s, d), 6).join(table(s, d, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text")), "chunk_id")
+    return A.prompts(golden.select("qid", "question"), hits.select("qid", "rank", "text")).withColumn("prompt", F.md5("prompt"))
+
+
+@query()
+def faithfulness(s: SparkSession, d: str) -> DataFrame:
+    golden = table(s, d, "golden")
+    hits = R.bm25(golden, _post(s, d), 6).join(table(s, d, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text")), "chunk_id")
+    return A.faithfulness(extractive_answers(s, d), hits.select("qid", "rank", "text"))
+
+
+@query()
+def signal_subsets(s: SparkSession, d: str) -> DataFrame:
+    """Every non-empty subset of signals with its best threshold; ties fall to fewer signals."""
+    signals = E.confidence_signals(table(s, d, "hits").distinct()).withColumnRenamed("query_id", "qid").join(table(s, d, "golden").select("qid", (F.col("expected") == "answer").alias("answerable")), "qid")
+    return E.select_signals(signals, ["top_dense", "mean_top3", "top_sparse", "score_gap"])
