@@ -240,9 +240,9 @@ _SPEECH_TH = re.compile(r"\s*[^\s]{0,30}(?:ถาม|กล่าว|พูด|
 class Splitter:
     """Classifies the possible ends of one language."""
 
-    def __init__(self, lang: str, abbreviations: set[str], starters: set[str], collocations: set[tuple[str, str]]):
-        """``starters``: words that start sentences, and those whose capital tells of one."""
-        self.lang, self.abbreviations, self.starters, self.collocations = lang, abbreviations, starters, collocations
+    def __init__(self, lang: str, abbreviations: set[str], starters: set[str], collocations: set[tuple[str, str]], common: frozenset[str] | set[str] = frozenset()):
+        """``starters``: words that start sentences; ``common``: words whose capital tells of a start."""
+        self.lang, self.abbreviations, self.starters, self.collocations, self.common = lang, abbreviations, starters, collocations, common
 
     def _goes_on(self, text: str, m: re.Match, closed: str) -> bool:
         """Whether the sentence goes on after its quoted part."""
@@ -300,6 +300,7 @@ class Splitter:
         if mark != ".":
             return True
         follower = _type(word)
+        begins = follower in self.starters or (letter.isupper() and follower in self.common)
         if closed and closed[0] in ")]":
             return bool(letter) and (not letter.isdigit() or True)
         if kind == "##" or (len(kind) == 1 and kind.isalpha()):
@@ -310,11 +311,11 @@ class Splitter:
             if kind == "##":
                 return not (self.lang == "de" and letter.islower())
             if len(kind) == 1 and before.strip(_EDGE)[:1].isupper():
-                return follower in self.starters and not re.fullmatch(r"\w\.", word)
+                return begins and not re.fullmatch(r"\w\.", word)
         if kind in self.abbreviations:
             if letter.isdigit() or not letter:
                 return False
-            return follower in self.starters
+            return begins
         return True
 
     def starts(self, text: str) -> list[int]:
@@ -399,8 +400,10 @@ class Model:
     def of(self, text: str) -> Splitter:
         lang = language(text, text.lower().split())
         if lang not in self.splitters:
-            abbreviations, starters, collocations, common = (self.kinds.get((lang, k), set()) for k in ("abbreviation", "starter", "collocation", "common"))
-            self.splitters[lang] = Splitter(lang, abbreviations, starters | common, collocations)
+            # a text of Latin script too short to tell its language uses what is known of all of them
+            langs = [*_FUNCTION_WORDS, "latin"] if lang == "latin" else [lang]
+            abbreviations, starters, collocations, common = (set().union(*(self.kinds.get((x, k), set()) for x in langs)) for k in ("abbreviation", "starter", "collocation", "common"))
+            self.splitters[lang] = Splitter(lang, abbreviations, starters, collocations, common)
         return self.splitters[lang]
 
 

@@ -55,8 +55,9 @@ def _corpus():
     rng = random.Random(8)
     subjects = ["The reader", "A nurse", "Our team", "The panel", "Site leads", "One rater", "Dr. Kolb", "Dr. Marn", "Dr. Sanz", "Prof. Liss"]
     verbs = ["saw", "kept", "rated", "moved", "held", "lost"]
-    things = ["scans", "notes", "maps, cf. table two", "cases (approx. 12 of them)", "images, e.g. slices", "drafts vs. finals"]
-    return [" ".join(f"{rng.choice(subjects)} {rng.choice(verbs)} {rng.choice(things)}." for _ in range(12)) for _ in range(150)]
+    nouns = ["scans", "notes", "maps", "cases", "images", "drafts", "tables", "forms", "labels", "visits"]
+    asides = ["", "", "", ", cf. table two,", ", e.g. twice,", " (approx. 12 of them)", " vs. those"]
+    return [" ".join(f"{rng.choice(subjects)} {rng.choice(verbs)} the {rng.choice(nouns)}{rng.choice(asides)} of the {rng.choice(nouns)}." for _ in range(12)) for _ in range(150)]
 
 
 def test_statistics_are_learned_and_used(spark):
