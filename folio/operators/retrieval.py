@@ -44,10 +44,15 @@ def bm25(questions: DataFrame, post: DataFrame, k: int, keep: DataFrame | None =
     stats = index_stats(post)
     asked = questions.select(qid, F.explode(F.array_distinct(tokens(F.col(text), expand))).alias("term")).distinct()
     live = post.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi") if keep is not None else post
-    rows = live.join(asked, "term").join(idf(post, stats), "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    # a posting's part of the score does not depend on the question: it is computed once, below the join
+    used = idf(post, stats).join(asked.select("term").distinct(), "term", "left_semi")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy(qid, "chunk_id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_set("term")).alias("matched_terms"))
-    return top_k(scored, k, [qid])
+    weights = live.join(used, "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("term", "chunk_id", part.alias("w"))  # one row
+    best = top_k(weights.join(asked, "term").groupBy(qid, "chunk_id").agg(F.sum("w").alias("score")), k, [qid])
+    # terms are gathered for the chunks that are returned only
+    terms = best.select(qid, "chunk_id").join(asked, qid).join(live.select("chunk_id", "term"), ["chunk_id", "term"])
+    matched = terms.groupBy(qid, "chunk_id").agg(F.array_sort(F.collect_set("term")).alias("matched_terms"))
+    return best.join(matched, [qid, "chunk_id"]).select(qid, "chunk_id", "score", "matched_terms", "rank")
 
 
 def cosine(a: Column, b: Column) -> Column:
