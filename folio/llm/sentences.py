@@ -295,6 +295,8 @@ class Splitter:
             # names such as mRNA or iPSC begin sentences too
             if not (mark != "…" and not set(mark) - set(".") and len(mark) == 1 and re.match(r"[a-z]{1,2}[A-Z]{2}", word) and kind not in self.abbreviations):
                 return False
+        if letter.islower() and set(mark) & set("?!") and any(c in "\"”»“" for c in closed) and not set(text[end : ahead.start("word")]) & set("\"“„«‘"):
+            return False  # in a text without capitals: a quote followed by who asked
         if self._goes_on(text, m, closed):
             return False
         if mark != ".":

@@ -41,6 +41,11 @@ def test_sentences(lang, want):
     assert _units(splitter, joined) == want
 
 
+def test_text_without_capitals():
+    want = ["we held the maps for the others.", '"which scan failed?" asked the panel.', '"do we stop?"', '"not yet," said one.', "following dr. kolb, it ended."]
+    assert _units(SPLITTER["en"], " ".join(want)) == want
+
+
 def test_layout():
     text = "## Scope\nFirst text of two\nlines. Second one.\n\nMETHODS\n\n1. Histogram matching, gait speed;\n2. Expansion\n3. A model.\n\n- one\n- two\n\n" + "=" * 50 + "\n\nAim: It ran.\r\n\r\nEnd"
     want = ["## Scope", "First text of two\nlines.", "Second one.", "METHODS", "1. Histogram matching, gait speed;", "2. Expansion", "3. A model.", "- one", "- two", "=" * 50, "Aim: It ran.", "End"]
