@@ -116,3 +116,23 @@ def test_plans_filter_and_cut_below_exchange(spark):
     rows = _hits(spark, [("a", "d", 1, 0.9, 1.0)])
     plan = R.top_k(rows, 3, ["query_id"], "dense")._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_signal_selection_equals_brute_force(spark):
+    import random
+    from statistics import mean, pstdev
+
+    rng = random.Random(6)
+    rows = [(rng.gauss(0.5 if i % 3 else 0.1, 0.2), rng.gauss(0.0, 1.0), bool(i % 3)) for i in range(90)]
+    got = {r.signals: r for r in E.select_signals(spark.createDataFrame(rows, "a double, b double, answerable boolean"), ["a", "b"]).collect()}
+    z = [[(r[k] - mean(x[k] for x in rows)) / pstdev(x[k] for x in rows) for r in rows] for k in (0, 1)]
+    for name, used in (("a", [0]), ("b", [1]), ("a+b", [0, 1])):
+        best = None
+        for t in [i / 10 for i in range(-20, 21)]:
+            low = [sum(z[k][i] for k in used) / len(used) < t for i in range(len(rows))]
+            tr = sum(x and not r[2] for x, r in zip(low, rows)) / sum(not r[2] for r in rows)
+            fr = sum(x and r[2] for x, r in zip(low, rows)) / sum(r[2] for r in rows)
+            if fr <= 0.15:
+                best = max(best or (0, 0), ((tr + 1 - fr) / 2, -t))
+        assert got[name].balanced_accuracy == pytest.approx(best[0], abs=1e-6) and got[name].threshold == pytest.approx(-best[1])
+    assert sum(r.chosen for r in got.values()) == 1
