@@ -13,10 +13,12 @@ is the Jaccard similarity of word bags (``WORDING``) and of bags of three-word r
 which a changed order hardly alters.
 
 Skew: exact copies collapse to one representative before banding, by an aggregate that combines
-before its shuffle. Buckets of two or three are read off their aggregates; small buckets are expanded; in a
-bucket of more than ``SMALL_BUCKET`` texts every text is compared with a few pivots of the bucket,
-those that match no pivot go on to the next round with more and new pivots until none are left, so
-no copies are expanded to all their pairs and no link between different texts is lost to a cap.
+before its shuffle. Buckets of two or three are read off their aggregates; small buckets are expanded; a
+bucket of more than ``SMALL_BUCKET`` texts is split at random into blocks of some ``BLOCK`` texts, and each
+pair of its blocks is a group of its own, so that every pair of the bucket is compared by its sketch
+whatever the bucket's size, and no task holds more than two blocks. The work for such a bucket grows with
+the square of its distinct texts. A pair is given by the first band that it shares only, so texts that meet
+in many large buckets are not listed many times.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ SKETCHED = 0.28  # least similarity by the sketch for the exact check
 WORDING = 0.64  # Jaccard of word bags
 RUNS = 0.55  # Jaccard of bags of three-word runs
 SMALL_BUCKET = 256
-PIVOTS = 32
+BLOCK = 1_024  # texts of a large bucket in one block
+PIVOTS = 32  # texts compared with a block at once, which bounds memory
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +161,29 @@ def _alike_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
+def _alike_in_blocks(group: pa.Table) -> pa.Table:
+    """Pairs of two blocks (or within one) of a bucket that pass the sketch and share no earlier band."""
+    band, low, high = (group.column(c)[0].as_py() for c in ("band", "low", "high"))
+    block, nodes = group.column("block").to_numpy(), group.column("node").to_numpy()
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
+    bands = pa.concat_arrays(group.column("bands").chunks).flatten().to_numpy().reshape(len(nodes), -1)
+    rows, against = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(rows), PIVOTS):
+        some = rows[at : at + PIVOTS]
+        i, k = np.nonzero(_sketched(sketch[some][:, None], sketch[against][None]) >= SKETCHED)
+        i, k = some[i], against[k]
+        if low == high:
+            once = nodes[i] < nodes[k]
+            i, k = i[once], k[once]
+        first = (bands[i] == bands[k]).argmax(axis=1)
+        own = bands[i, first] == band
+        x, y = nodes[i[own]], nodes[k[own]]
+        a.append(np.minimum(x, y))
+        b.append(np.maximum(x, y))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -203,40 +229,20 @@ class _Task:
         pairs = buckets.where("n = 2").select("a", "b").union(three.select("a", "m")).union(three.select("m", "b")).union(three.select("a", "b"))
         more = buckets.where("n > 3").select("band", "n")
         near = self.near(pairs)
-        found = []
         if not more.isEmpty():
             members = self.scratch.write(banded.join(more, "band"), "members")
             small = members.where(F.col("n") <= SMALL_BUCKET).join(self.sketches, "node")
             near = near.union(small.groupBy("band").agg(F.collect_list(F.struct("node", "sketch")).alias("s")).select("s").mapInArrow(_alike_in_buckets, "a long, b long"))
-            left = members.where(F.col("n") > SMALL_BUCKET).select("band", "node")
-            pivots = PIVOTS
-            while not left.isEmpty():
-                got, left = self._pivot_round(left, pivots)
-                found.append(got)
-                pivots *= 4
-        return self.scratch.write(_all([self.verified(near), *found]), "links")
-
-    def _pivot_round(self, left: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-        """Compare each text of a large bucket with some of the bucket's texts. Those that match one
-        are linked through it and leave the bucket, as do the pivots; the others stay."""
-        slot = F.pmod(F.xxhash64("node", "band"), F.lit(most))
-        pivots = self.scratch.write(left.groupBy("band", slot.alias("slot")).agg(F.min("node").alias("p")).select("band", "p"), "pivots")
-        against = left.join(pivots, "band").where("node <> p")
-        cand = against.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        good = self.scratch.write(self.verified(self.near(cand)), "links")
-        both = good.select(F.col("a").alias("node"), F.col("b").alias("p")).union(good.select(F.col("b"), F.col("a")))
-        matched = against.join(both, ["node", "p"], "left_semi").select("band", "node").distinct()
-        gone = matched.union(pivots.select("band", F.col("p").alias("node")))
-        rest = left.join(gone, ["band", "node"], "left_anti")
-        several = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        return good, self.scratch.write(rest.join(several, "band", "left_semi"), "left")
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out.distinct()
+            near = near.union(self._large(members.where(F.col("n") > SMALL_BUCKET)))
+        return self.scratch.write(self.verified(near).distinct(), "links")
+
+    def _large(self, members: DataFrame) -> DataFrame:
+        """All pairs of large buckets that pass the sketch."""
+        held = members.join(self.nodes.select(F.col("num").alias("node"), "sketch", "bands"), "node")
+        blocks = F.ceil(F.col("n") / BLOCK)
+        held = held.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        pairs = held.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "sketch", "bands")
+        return pairs.groupBy("band", "low", "high").applyInArrow(_alike_in_blocks, "a long, b long")
 
 
 def group_near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,6 +91,41 @@ def test_pivot_rounds_lose_no_link(spark, monkeypatch):
     assert sorted(got.values()) == [3] * 8
 
 
+def _revisions(rng, n):
+    """A short text, texts that extend it each in its own way, and a chain of revisions of the first."""
+    stock = _text(rng, 100, 10**6)
+    rows = [("hub", stock)] + [(f"r{i:03d}", stock + " " + _text(rng, 40, 10**6)) for i in range(n)]
+    chain = rows[1][1]
+    for i in range(n // 10):
+        w = chain.split()
+        at = 100 + 8 * (i % 5)
+        chain = " ".join(w[:at] + _text(rng, 8, 10**6).split() + w[at + 8 :])
+        rows.append((f"s{i:03d}", chain))
+    return rows
+
+
+def test_large_bucket_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "BLOCK", 8, raising=False)
+    rows = _revisions(random.Random(12), 60)
+    want = Counter()
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            if neardup.same_work(x, y):
+                want.update((a, b))
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = neardup.group_near_duplicates(df).collect()
+    assert {r.id: r.links for r in got} == want and len({r.group for r in got}) == 1
+
+
+def test_more_than_256_revisions_of_one_text(spark):
+    rows = _revisions(random.Random(13), 300)
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.id: r for r in neardup.group_near_duplicates(df).collect()}
+    assert len({r.group for r in got.values()}) == 1 and got["hub"].links == len(rows) - 1
+
+
 def test_empty_table_and_null_ids(spark):
     df = spark.createDataFrame([], "doc_id string, text string")
     assert neardup.group_near_duplicates(df).count() == 0
