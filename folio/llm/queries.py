@@ -69,8 +69,8 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.outlier_scores(quality.document_statistics(_table(spark, sf_dir, "documents")))
-    return quality.not_prose(scored).select(F.col("id").alias("doc_id")).distinct()
+    stats = quality.document_statistics(_table(spark, sf_dir, "documents"))
+    return quality.not_prose(stats).select(F.col("id").alias("doc_id")).distinct()
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
