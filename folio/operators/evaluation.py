@@ -110,16 +110,31 @@ def signal_subsets(names: list[str]) -> list[list[str]]:
     return [list(c) for k in range(1, len(names) + 1) for c in combinations(names, k)]
 
 
-def select_signals(rows: DataFrame, names: list[str], grid: tuple[float, ...] = tuple(i / 10 for i in range(-20, 21)), most_false: float = 0.15) -> DataFrame:
+def select_signals(rows: DataFrame, names: list[str], grid: tuple[float, ...] | None = tuple(i / 10 for i in range(-20, 21)), most_false: float = 0.15) -> DataFrame:
     """``rows``: the signals and ``answerable``. For each subset of signals the threshold with the best
-    balanced accuracy among those with at most ``most_false`` false refusals, on pooled z-scores.
-    All subsets and thresholds are exploded beside each row and aggregated in one pass."""
+    balanced accuracy among those with at most ``most_false`` false refusals, on pooled z-scores; among
+    equals the least threshold. Thresholds are those of ``grid``, or without one every distinct score,
+    which gives the best there is: the rates change nowhere else. Subsets (and a grid's thresholds) are
+    exploded beside each row; distinct scores are counted first and then cumulated in their order."""
     stats = rows.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names])
     z = rows.crossJoin(F.broadcast(stats)).select("answerable", *[F.coalesce(F.try_divide(F.col(n) - F.col(f"m_{n}"), F.col(f"s_{n}")), F.lit(0.0)).alias(n) for n in names])  # one row
     subsets = F.explode(F.array(*[F.struct(F.lit("+".join(c)).alias("signals"), F.lit(len(c)).alias("size"), (sum(F.col(n) for n in c) / len(c)).alias("x")) for c in signal_subsets(names)])).alias("u")
-    each = z.select("answerable", subsets).select("answerable", "u.*", F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
-    low = F.col("x") < F.col("threshold")
-    agg = each.groupBy("signals", "size", "threshold").agg(F.try_divide(F.count_if(~F.col("answerable") & low), F.count_if(~F.col("answerable"))).alias("tr"), F.try_divide(F.count_if(F.col("answerable") & low), F.count_if(F.col("answerable"))).alias("fr"))
+    scored = z.select("answerable", subsets).select("answerable", "u.*")
+    agg = _rates_by_score(scored) if grid is None else _rates_on_grid(scored, grid)
     best = agg.where(F.col("fr") <= most_false).groupBy("signals", "size").agg(F.max(F.struct(((F.col("tr") + 1 - F.col("fr")) / 2).alias("ba"), (-F.col("threshold")).alias("t"))).alias("b"))
     order = Window.orderBy(F.desc("b.ba"), "size", "signals")
     return best.select("signals", "size", (-F.col("b.t")).alias("threshold"), F.round("b.ba", 6).alias("balanced_accuracy"), (F.row_number().over(order) == 1).alias("chosen"))
+
+
+def _rates_on_grid(scored: DataFrame, grid: tuple[float, ...]) -> DataFrame:
+    each = scored.select("*", F.explode(F.array(*map(F.lit, grid))).alias("threshold"))
+    low = F.col("x") < F.col("threshold")
+    return each.groupBy("signals", "size", "threshold").agg(F.try_divide(F.count_if(~F.col("answerable") & low), F.count_if(~F.col("answerable"))).alias("tr"), F.try_divide(F.count_if(F.col("answerable") & low), F.count_if(F.col("answerable"))).alias("fr"))
+
+
+def _rates_by_score(scored: DataFrame) -> DataFrame:
+    counts = scored.groupBy("signals", "size", "x").agg(F.count_if(~F.col("answerable")).alias("n"), F.count_if("answerable").alias("p"))
+    whole = Window.partitionBy("signals", "size")
+    below = whole.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    rate = lambda c: F.try_divide(F.coalesce(F.sum(c).over(below), F.lit(0)), F.sum(c).over(whole))
+    return counts.select("signals", "size", F.col("x").alias("threshold"), rate("n").alias("tr"), rate("p").alias("fr"))

@@ -393,6 +393,6 @@ def faithfulness(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def signal_subsets(s: SparkSession, d: str) -> DataFrame:
-    """Every non-empty subset of signals with its best threshold; ties fall to fewer signals."""
+    """Every non-empty subset of signals with the best of all thresholds; ties fall to fewer signals."""
     signals = E.confidence_signals(table(s, d, "hits").distinct()).withColumnRenamed("query_id", "qid").join(table(s, d, "golden").select("qid", (F.col("expected") == "answer").alias("answerable")), "qid")
-    return E.select_signals(signals, ["top_dense", "mean_top3", "top_sparse", "score_gap"])
+    return E.select_signals(signals, ["top_dense", "mean_top3", "top_sparse", "score_gap", "n_matched"], grid=None)

@@ -136,3 +136,35 @@ def test_signal_selection_equals_brute_force(spark):
                 best = max(best or (0, 0), ((tr + 1 - fr) / 2, -t))
         assert got[name].balanced_accuracy == pytest.approx(best[0], abs=1e-6) and got[name].threshold == pytest.approx(-best[1])
     assert sum(r.chosen for r in got.values()) == 1
+
+
+def test_signal_selection_tries_every_score_of_every_subset(spark):
+    import random
+    from itertools import combinations
+    from statistics import mean, pstdev
+
+    from folio.plans.queries import signal_subsets
+
+    rng = random.Random(8)
+    # a far value squeezes the others into a tenth of a step or two
+    rows = [(round(rng.gauss(0.02 if i % 3 else 0.0, 0.01), 3), float(rng.randrange(4)), bool(i % 3)) for i in range(90)] + [(9.0, 1.0, True)]
+    got = {r.signals: r for r in E.select_signals(spark.createDataFrame(rows, "a double, b double, answerable boolean"), ["a", "b"], grid=None).collect()}
+    z = [[(r[k] - mean(x[k] for x in rows)) / pstdev(x[k] for x in rows) for r in rows] for k in (0, 1)]
+    for name, used in (("a", [0]), ("b", [1]), ("a+b", [0, 1])):
+        best = 0
+        x = [round(sum(z[k][i] for k in used) / len(used), 9) for i in range(len(rows))]
+        for t in set(x):
+            tr = sum(v < t and not r[2] for v, r in zip(x, rows)) / sum(not r[2] for r in rows)
+            fr = sum(v < t and r[2] for v, r in zip(x, rows)) / sum(r[2] for r in rows)
+            if fr <= 0.15:
+                best = max(best, (tr + 1 - fr) / 2)
+        assert got[name].balanced_accuracy == pytest.approx(best, abs=1e-6)
+    names = ["top_dense", "mean_top3", "top_sparse", "score_gap", "n_matched"]
+    hits = spark.createDataFrame([(0, f"q{i}", "c", "d", 1, 0.1 * i, 1.0 * i, 1.0, ["x"] * i) for i in range(4)], HIT + ", score double, matched_terms array<string>")
+    golden = spark.createDataFrame([(f"q{i}", "answer" if i > 1 else "refuse") for i in range(4)], "qid string, expected string")
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        hits.write.parquet(f"{d}/hits.parquet")
+        golden.write.parquet(f"{d}/golden.parquet")
+        assert {r.signals for r in signal_subsets(spark, d).collect()} == {"+".join(c) for k in range(1, 6) for c in combinations(names, k)}
