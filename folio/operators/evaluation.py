@@ -43,7 +43,7 @@ def slices(metrics: DataFrame, golden: DataFrame, metric: str = "recall_5") -> D
     return sets.agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"), F.round(F.avg(metric), 6).alias("mean"))
 
 
-def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
     """mean, ci_low, ci_high over ``rounds`` resamples of the rows, by a fixed linear congruence, so any
     engine draws the same. ``values`` must be a table of questions (hundreds of rows), not of hits."""
     numbered = values.select(F.row_number().over(Window.orderBy(key)).alias("i"), F.col(value).alias("v"))
@@ -57,6 +57,12 @@ def bootstrap(values: DataFrame, key: str, value: str, rounds: int = 200, seed:
     return numbered.agg(F.avg("v").alias("m")).crossJoin(ci).select(F.round("m", 6).alias("mean"), F.round("lo", 6).alias("ci_low"), F.round("hi", 6).alias("ci_high"))
 
 
+def paired_bootstrap(differences: DataFrame, key: str, value: str, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """``bootstrap`` of the differences of one question each, so that both sides have the same draws, and
+    ``significant``: whether the interval leaves out 0."""
+    return bootstrap(differences, key, value, rounds, seed).withColumn("significant", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
+
+
 def confidence_signals(hits: DataFrame) -> DataFrame:
     """Per question: top_dense, mean_top3, top_sparse, score_gap, n_matched from the ranked hits."""
     top = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))

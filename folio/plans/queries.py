@@ -161,14 +161,36 @@ BOOT = """v AS (SELECT row_number() OVER (ORDER BY query_id) AS i, v, count(*) O
 o AS (SELECT m, row_number() OVER (ORDER BY m, b) AS r FROM b) SELECT round((SELECT avg(v) FROM v), 6) AS mean, round(max(CASE WHEN r = 5 THEN m END), 6) AS ci_low, round(max(CASE WHEN r = 195 THEN m END), 6) AS ci_high FROM o"""
 
 
+def _recall(s: SparkSession, d: str) -> DataFrame:
+    return _metrics(s, d).groupBy("query_id").agg(F.avg("recall_5").alias("v"))
+
+
+def _gain(s: SparkSession, d: str) -> DataFrame:
+    return _metrics(s, d).groupBy("query_id").agg(F.avg(F.col("recall_10") - F.col("recall_3")).alias("v"))
+
+
 @query(f"WITH {METRICS}, q AS (SELECT query_id, avg(recall_5) AS v FROM m GROUP BY 1), {BOOT}")
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap(_metrics(s, d).groupBy("query_id").agg(F.avg("recall_5").alias("v")), "query_id", "v")
+    return E.bootstrap(_recall(s, d), "query_id", "v", rounds=200)  # as many as its SQL has
 
 
 @query(f"WITH {METRICS}, q AS (SELECT query_id, avg(recall_10 - recall_3) AS v FROM m GROUP BY 1), {BOOT}")
 def paired_difference(s: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap(_metrics(s, d).groupBy("query_id").agg(F.avg(F.col("recall_10") - F.col("recall_3")).alias("v")), "query_id", "v")
+    return E.bootstrap(_gain(s, d), "query_id", "v", rounds=200)  # as many as its SQL has
+
+
+# The whole job: 2000 resamples, and whether the difference is significant.
+BOOT_2000 = BOOT.replace("range(200)", "range(2000)").replace("r = 5 ", "r = 50 ").replace("r = 195 ", "r = 1950 ")
+
+
+@query(f"WITH {METRICS}, q AS (SELECT query_id, avg(recall_5) AS v FROM m GROUP BY 1), {BOOT_2000}")
+def bootstrap_ci_2000(s: SparkSession, d: str) -> DataFrame:
+    return E.bootstrap(_recall(s, d), "query_id", "v")
+
+
+@query(f"SELECT *, ci_low > 0 OR ci_high < 0 AS significant FROM (WITH {METRICS}, q AS (SELECT query_id, avg(recall_10 - recall_3) AS v FROM m GROUP BY 1), {BOOT_2000})")
+def paired_difference_2000(s: SparkSession, d: str) -> DataFrame:
+    return E.paired_bootstrap(_gain(s, d), "query_id", "v")
 
 
 def _confidence(s: SparkSession, d: str) -> DataFrame:

@@ -168,3 +168,13 @@ def test_signal_selection_tries_every_score_of_every_subset(spark):
         hits.write.parquet(f"{d}/hits.parquet")
         golden.write.parquet(f"{d}/golden.parquet")
         assert {r.signals for r in signal_subsets(spark, d).collect()} == {"+".join(c) for k in range(1, 6) for c in combinations(names, k)}
+
+
+def test_bootstrap_has_2000_rounds_and_tells_significance(spark):
+    import inspect
+
+    assert inspect.signature(E.bootstrap).parameters["rounds"].default == 2000
+    df = spark.createDataFrame([(f"q{i:02d}", 0.5 + 0.01 * i, 0.1 * (-1) ** i) for i in range(30)], "q string, up double, even double")
+    got = E.paired_bootstrap(df, "q", "up").first()
+    assert got.significant and got.ci_low < got.mean < got.ci_high
+    assert not E.paired_bootstrap(df, "q", "even").first().significant
