@@ -1,11 +1,12 @@
 """Records of several sources mixed to target shares of all tokens.
 
-Temperature mixing raises the sources' natural token shares p to an exponent and normalises. One
-exponent for all sources can meet one number only (an entropy, a limit of repetition), not a share
-for each source; so here each source has its own: its weight is p (t / p) ** e, with e = 1 (the
-target share t exactly) unless that needs more repetitions than allowed; then e is bisected down to
-the repetition limit, and what such sources leave is spread over the others in proportion to their
-targets. ``entropy_weights`` is the classic form without targets, bisected to a target entropy.
+Temperature mixing raises the sources' natural token shares to an exponent and normalises. One exponent
+cannot meet a share for each source, so the targets come first: a source gets its target share, or as
+much as its repetition limit allows. What small and absent sources leave open is mixed by temperature over
+the sources that have room: in proportion to their natural shares raised to one exponent, which is bisected
+so that the whole mixture has the entropy of the targets (or comes nearest to it); a source that reaches
+its limit keeps it and the rest is mixed anew. As no source that can reach its target gets less, the
+sum of the shares' errors is the least that the limits allow, twice what is left open, for any exponent.
 
 Weights become token budgets of a total (by default the tokens of all target sources, each document
 once), realised as block permutations: whole passes over a source, and for the rest one pass in
@@ -28,6 +29,7 @@ from folio.session import Scratch
 BLOCK = 1_024
 MOST_BLOCKS = 65_536
 MOST_TARGETS = 10_000
+HOTTEST = 16.0  # greatest exponent
 
 
 def entropy(weights: list[float]) -> float:
@@ -40,57 +42,57 @@ def _normal(weights: list[float]) -> list[float]:
 
 
 def _bisect(f, lo: float, hi: float) -> float:
-    """Where the decreasing ``f`` passes 0."""
-    for _ in range(200):
+    """Where ``f`` passes 0 between ends of different sign; without such, the end nearer to 0."""
+    at_lo, at_hi = f(lo), f(hi)
+    if (at_lo > 0) == (at_hi > 0):
+        return lo if abs(at_lo) <= abs(at_hi) else hi
+    for _ in range(100):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) > 0 else (lo, mid)
+        lo, hi = (mid, hi) if (f(mid) > 0) == (at_lo > 0) else (lo, mid)
     return (lo + hi) / 2
 
 
+def tempered(shares: list[float], exponent: float) -> list[float]:
+    """Shares raised to the exponent and normalised; empty ones stay empty."""
+    return _normal([x**exponent if x > 0 else 0.0 for x in _normal(shares)])
+
+
 def entropy_weights(shares: list[float], target: float) -> tuple[list[float], float]:
-    """Natural shares raised to the exponent in [0, 16] whose normalised weights have the target
-    entropy (or come nearest to it), and the exponent."""
-    p = _normal(shares)
-
-    def at(e: float) -> list[float]:
-        return _normal([x**e if x > 0 else 0.0 for x in p])
-
-    e = _bisect(lambda x: entropy(at(x)) - target, 0.0, 16.0)
-    return at(e), e
-
-
-def target_weights(sizes: list[int], targets: list[float], repeats: list[int], total: int) -> tuple[list[float], list[float]]:
-    """Weights (shares of ``total`` tokens) and exponents of the sources. Sources without tokens or
-    target have weight 0; if all reach their limits, the weights add up to less than 1."""
-    n = len(sizes)
-    natural = _normal([float(s) for s in sizes])
-    limit = [s * r / total if total else 0.0 for s, r in zip(sizes, repeats)]
-    live = [i for i in range(n) if sizes[i] > 0 and targets[i] > 0 and repeats[i] > 0]
-    weights, exponents = [0.0] * n, [1.0] * n
-    fixed: set[int] = set()
-    while True:
-        open_ = [i for i in live if i not in fixed]
-        if not open_:
-            break
-        left = 1.0 - sum(weights[i] for i in fixed)
-        share = sum(targets[i] for i in open_)
-        over = []
-        for i in open_:
-            want = targets[i] / share * left
-            weights[i] = want
-            if want > limit[i] * (1 + 1e-12):
-                over.append((i, want))
-        if not over:
+    """Tempered shares with the target entropy (or the nearest to it), and the exponent in [0, ``HOTTEST``]."""
+    e = _bisect(lambda x: entropy(tempered(shares, x)) - target, 0.0, HOTTEST)
+    return tempered(shares, e), e
+
+
+def _filled(base: list[float], limit: list[float], sizes: list[int], exponent: float) -> list[float]:
+    """``base`` and what is left of 1 by tempered natural shares, no source above its limit."""
+    weights = [*base]
+    room = {i for i, (b, m) in enumerate(zip(base, limit)) if m > b * (1 + 1e-12)}
+    while room:
+        left = 1.0 - sum(weights)
+        if left <= 1e-15:
             break
-        for i, want in over:
-            ratio = want / natural[i]
-            if ratio > 1:  # natural * ratio ** e falls to the limit as e falls
-                exponents[i] = _bisect(lambda e: limit[i] - natural[i] * ratio**e, -64.0, 1.0)
-                weights[i] = min(limit[i], natural[i] * ratio ** exponents[i])
-            else:
-                weights[i] = limit[i]
-            fixed.add(i)
-    return weights, exponents
+        part = tempered([sizes[i] if i in room else 0 for i in range(len(sizes))], exponent)
+        full = {i for i in room if weights[i] + left * part[i] >= limit[i]}
+        if not full:
+            return [w + left * q for w, q in zip(weights, part)]
+        for i in full:
+            weights[i] = limit[i]
+        room -= full
+    return weights
+
+
+def target_weights(sizes: list[int], targets: list[float], repeats: list[int], total: int, wanted_entropy: float | None = None) -> tuple[list[float], float | None]:
+    """Weights (shares of ``total`` tokens) of the sources, and the exponent, null where every target is met.
+    Sources without tokens or target have weight 0; if all reach their limits, the weights add up to less
+    than 1. ``wanted_entropy`` is that of the targets unless given."""
+    goal = _normal([max(0.0, t) for t in targets])
+    limit = [s * r / total if total and t > 0 else 0.0 for s, r, t in zip(sizes, repeats, targets)]
+    base = [min(t, m) for t, m in zip(goal, limit)]
+    if sum(base) >= 1 - 1e-12 or not any(m > b for m, b in zip(limit, base)):
+        return base, None
+    want = entropy(goal) if wanted_entropy is None else wanted_entropy
+    e = _bisect(lambda x: entropy(_normal(_filled(base, limit, sizes, x))) - want, 0.0, HOTTEST)
+    return _filled(base, limit, sizes, e), e
 
 
 def _key(c: str) -> F.Column:
@@ -115,12 +117,12 @@ class Mixture:
         goals.sort(key=lambda r: r.source)
         sizes = [found[g.source].tokens if g.source in found else 0 for g in goals]
         total = sum(sizes) if total_tokens is None else total_tokens
-        weights, exponents = target_weights(sizes, [g.target_share for g in goals], [max(0, g.max_repeats) for g in goals], total)
+        weights, exponent = target_weights(sizes, [g.target_share for g in goals], [max(0, g.max_repeats) for g in goals], total)
         plan = []
-        for g, size, w, e in zip(goals, sizes, weights, exponents):
+        for g, size, w in zip(goals, sizes, weights):
             budget = min(round(w * total), size * max(0, g.max_repeats))
             docs = found[g.source].docs if g.source in found else 0
-            plan.append((g.source, g.target_share, g.max_repeats, size, docs, e, w, budget, budget // size if size else 0, budget % size if size else 0, max(1, min(MOST_BLOCKS, -(-docs // BLOCK)))))
+            plan.append((g.source, g.target_share, g.max_repeats, size, docs, exponent, w, budget, budget // size if size else 0, budget % size if size else 0, max(1, min(MOST_BLOCKS, -(-docs // BLOCK)))))
         kind = "source string, target_share double, max_repeats int, available_tokens long, available_docs long, exponent double, weight double, budget_tokens long, passes long, rest long, blocks long"
         plan_df = spark.createDataFrame(plan, kind)
         # ids repeat only with repeated rows; each row is a document of its own
