@@ -68,8 +68,8 @@ def language(text: str, tokens: list[str]) -> str:
             return best
     votes: Counter = Counter()
     kinds: Counter = Counter()
-    for w, n in Counter(tokens).items():
-        for lang in _BY_WORD.get(w, ()):
+    for w, n in Counter(filter(_BY_WORD.__contains__, tokens)).items():
+        for lang in _BY_WORD[w]:
             votes[lang] += n
             kinds[lang] += 1
     votes = Counter({lang: n for lang, n in votes.items() if kinds[lang] > 1})
