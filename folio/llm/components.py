@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from folio.session import Scratch
 
 
+SALTS = 8  # parts of a key's edges
+
+
+def _salted(edges: DataFrame, least: DataFrame, key: str) -> DataFrame:
+    """``edges`` with their key's minimum; a key's edges are spread over ``SALTS`` parts by their other end."""
+    other = next(c for c in edges.columns if c != key)
+    spread = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    return spread.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [key, "salt"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (its least node) for every node of ``edges``.
 
     Each round sends a node's larger neighbours to its least neighbour, then its smaller ones; the
-    number of rounds is logarithmic. A node's neighbours are only ever reduced to their minimum,
-    which combines before the shuffle, so that a node with a third of all edges is no hot task.
+    number of rounds is logarithmic. A node's neighbours are reduced to their minimum by aggregates that
+    combine before the shuffle; the edges of a node with many are then joined with that minimum in ``SALTS`` parts.
     Loops and null ends are ignored; repeated edges count once; no edges give no rows."""
     scratch = Scratch(edges.sparkSession)
     u, v = F.col(a), F.col(b)
@@ -23,9 +33,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         both = now.select(F.col("hi").alias("n"), F.col("lo").alias("o")).union(now.select(F.col("lo").alias("n"), F.col("hi").alias("o")))
         least = both.groupBy("n").agg(F.least(F.min("o"), F.first("n")).alias("m"))
-        large = both.where("o > n").join(least, "n").select(F.col("o").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        large = _salted(both.where("o > n"), least, "n").select(F.col("o").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(low.select("hi", F.col("m").alias("lo"))).distinct()
+        small = _salted(large, low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(low.select("hi", F.col("m").alias("lo"))).distinct()
         new = scratch.write(small, "edges")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         scratch.drop(now)

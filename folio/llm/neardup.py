@@ -9,15 +9,17 @@ that share a band are candidates. Four bits of each entry are kept as a sketch,
 far below the threshold are discarded before any text is moved; an exact check follows.
 
 Measure: TESTDATA.md asks for two thirds of the wording, sentences in any order, so the exact check
-is the Jaccard similarity of word bags (``WORDING``) and of bags of three-word runs (``RUNS``),
-which a changed order hardly alters.
+is the Jaccard similarity of word bags (``WORDING``) and of bags of three-word runs (``RUNS``), which a changed
+order hardly alters. ``RUNS`` is what is left of the runs when a sixth of the words is changed at scattered
+places; less would take texts made of the same phrases for one work.
 
 Skew: exact copies collapse to one representative before banding, by an aggregate that combines
 before its shuffle. Buckets of two or three are read off their aggregates; small buckets are expanded; a
 bucket of more than ``SMALL_BUCKET`` texts is split at random into blocks of some ``BLOCK`` texts, and each
 pair of its blocks is a group of its own, so that every pair of the bucket is compared by its sketch
-whatever the bucket's size, and no task holds more than two blocks. The work for such a bucket grows with
-the square of its distinct texts. A pair is given by the first band that it shares only, so texts that meet
+whatever the bucket's size, and no task holds more than two blocks. The work of that comparison for such a
+bucket grows with the square of its distinct texts. Texts are checked first with the least similar one only;
+within a group that is linked already no further texts are moved unless links are to be counted. A pair is given by the first band that it shares only, so texts that meet
 in many large buckets are not listed many times.
 """
 
@@ -40,9 +42,9 @@ from folio.session import Scratch
 SHINGLE = 5
 PERMUTATIONS = 63
 BAND = 3
-SKETCHED = 0.28  # least similarity by the sketch for the exact check
-WORDING = 0.64  # Jaccard of word bags
-RUNS = 0.55  # Jaccard of bags of three-word runs
+SKETCHED = 0.22  # least similarity by the sketch for the exact check
+WORDING = 0.66  # Jaccard of word bags
+RUNS = 0.39  # Jaccard of bags of three-word runs
 SMALL_BUCKET = 256
 BLOCK = 1_024  # texts of a large bucket in one block
 PIVOTS = 32  # texts compared with a block at once, which bounds memory
@@ -213,14 +215,29 @@ class _Task:
 
     def verified(self, near: DataFrame) -> DataFrame:
         """Those of ``near`` that pass the exact check."""
-        near = self.scratch.write(near.distinct(), "near")
         wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         place = self.nodes.select(F.col("num").alias("node"), "id", "seen").join(wanted, "node")
         texts = self.texts.join(place, ["id", "seen"]).select("node", "text").dropDuplicates(["node"])
         both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
-    def edges(self) -> DataFrame:
+    def edges(self, every: bool) -> DataFrame:
+        """Links: all of them, or as many as tell the groups."""
+        near = self.scratch.write(self.candidates().distinct(), "near")
+        if every:
+            return self.scratch.write(self.verified(near), "links")
+        first = self.scratch.write(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        links = self.scratch.write(self.verified(first), "links")
+        part = connected_components(links)
+        rest = near.join(first, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(part.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        apart = F.coalesce("of_a", "a") != F.coalesce("of_b", "b")  # two texts without links have numbers of their own
+        rest = self.scratch.write(rest.where(apart).select("a", "b"), "rest")
+        return self.scratch.write(links.union(self.verified(rest)), "links")
+
+    def candidates(self) -> DataFrame:
+        """Pairs (a < b) that share a band and pass the sketch."""
         banded = self.nodes.select(F.col("num").alias("node"), F.explode("bands").alias("band"))
         buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum("node").alias("s")).where("n > 1")
         buckets = self.scratch.write(buckets, "buckets")
@@ -234,7 +251,7 @@ class _Task:
             small = members.where(F.col("n") <= SMALL_BUCKET).join(self.sketches, "node")
             near = near.union(small.groupBy("band").agg(F.collect_list(F.struct("node", "sketch")).alias("s")).select("s").mapInArrow(_alike_in_buckets, "a long, b long"))
             near = near.union(self._large(members.where(F.col("n") > SMALL_BUCKET)))
-        return self.scratch.write(self.verified(near).distinct(), "links")
+        return near
 
     def _large(self, members: DataFrame) -> DataFrame:
         """All pairs of large buckets that pass the sketch."""
@@ -245,15 +262,16 @@ class _Task:
         return pairs.groupBy("band", "low", "high").applyInArrow(_alike_in_blocks, "a long, b long")
 
 
-def group_near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def group_near_duplicates(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """``id``, ``group`` (the same for all records of one work), ``copies`` (records of exactly its
-    words, repeated rows of one id counted once) and ``links`` (other texts found to be the same work).
+    words, repeated rows of one id counted once) and ``links`` (other texts found to be the same work; without
+    ``count_links`` those that were needed to tell the groups).
 
     Every id with at least one word has one row, ids without a partner a group of their own. Null
     ids and null, empty or wordless texts have none. An id with several texts takes the group of the
     least of them; empty tables give no rows. Other columns are not read."""
     task = _Task(records, id_col, text_col)
-    links = task.edges()
+    links = task.edges(count_links)
     parts = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     numbered = task.nodes.select("num", "node")

@@ -48,7 +48,7 @@ def p4_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = neardup.group_near_duplicates(_table(spark, sf_dir, "papers"))
+    groups = neardup.group_near_duplicates(_table(spark, sf_dir, "papers"), count_links=False)
     return neardup.duplicate_pairs(groups).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 

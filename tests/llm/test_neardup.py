@@ -66,6 +66,28 @@ def test_groups_equal_brute_force(spark):
     assert got == want and ("s1", "s2") in got
 
 
+@pytest.mark.parametrize("share", [0.10, 0.13, 0.16])
+def test_scattered_edits_are_the_same_work(share):
+    rng = random.Random(21)
+    alike = strangers = 0
+    for _ in range(40):
+        base = _text(rng, 400, 900)
+        w = base.split()
+        for i in rng.sample(range(len(w)), int(len(w) * share)):
+            w[i] = f"x{rng.randrange(10**6)}"
+        alike += neardup.same_work(base, " ".join(w))
+        strangers += neardup.same_work(base, _text(rng, 400, 900))
+    assert alike >= 38 and strangers == 0
+
+
+def test_groups_do_not_need_every_link(spark):
+    rows = _revisions(random.Random(14), 80)
+    df = spark.createDataFrame(rows + [("other", _text(random.Random(3), 90))], "doc_id string, text string")
+    every, few = ({r.id: r for r in neardup.group_near_duplicates(df, count_links=c).collect()} for c in (True, False))
+    assert {k: r.group for k, r in every.items()} == {k: r.group for k, r in few.items()}
+    assert sum(r.links for r in few.values()) <= sum(r.links for r in every.values())
+
+
 def test_large_bucket_of_near_copies_and_strangers(spark):
     rng = random.Random(9)
     base = _text(rng, 60)
