@@ -8,13 +8,14 @@ from its script and, in Latin script, from its function words.
 
 Second pass: a blank line, a heading line or a list mark ends a unit; within a block every possible
 end is classified with the statistics: a period after an abbreviation, an initial or a number ends a
-sentence only where a known sentence starter follows. Scripts with signs of their own end at them;
+sentence only where a known sentence starter follows, and a word that is mostly followed by a number ("No. 3") no
+sentence before one. Scripts with signs of their own end at them;
 Thai sentences end at spaces between Thai letters. Closing quotes, brackets and tags stay with the
 unit they close; a quote whose sentence goes on does not end it.
 
-Scale: both passes map whole texts; only the counts are shuffled, combined per batch before. The
-learned lists are sent to executors; each entry must make up at least ``SHARE`` of its language's
-words, so a language has at most 1 / ``SHARE`` entries of each kind.
+Scale: both passes map whole texts; only the counts are shuffled, combined per batch before. A word needs
+``LEAST`` occurrences to be judged, whatever the size of the corpus. The learned lists are sent to executors after
+a check of their number; beyond ``MOST_ENTRIES`` ``split`` asks for a greater ``least``.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 
 from folio.session import Scratch
 
-SHARE = 5e-6
+LEAST = 2  # occurrences from which on a word is judged
+MOST_ENTRIES = 3_000_000  # of the model, some 100 bytes each
 ABBREVIATION = 0.3
 COLLOCATION = 7.88
+NUMBERED = 0.3  # share of a word's periods that are followed by a number
 STARTER = 30.0
 ENDING = 0.5
 COMMON = 0.6  # share in lower case of words whose capital tells a sentence's beginning
@@ -90,6 +93,9 @@ def _type(token: str) -> str:
     return "##" if _NUMBER.match(t) else t
 
 
+_IDEOGRAPHS = re.compile("[\u3000-\u30ff\u3400-\u9fff\uff00-\uffef]+")  # no words to count: they have no spaces or periods
+
+
 class Counts:
     """Counts of one batch, by language."""
 
@@ -101,6 +107,8 @@ class Counts:
         tokens = text.split()
         low = text.lower().split()
         lang = language(text, low)
+        if lang in ("ja", "zh"):
+            tokens = _IDEOGRAPHS.sub(" ", text).split()
         self.tokens.setdefault(lang, Counter()).update(tokens)
         ends = [(a, b) for a, b in zip(tokens, tokens[1:]) if a[-1] == "."]
         if ends:
@@ -164,15 +172,15 @@ def _ratio(pair: str, first: str, second: str, total: str) -> F.Column:
     return 2 * (like(k1, n1, k1 / n1) + like(k2, n2, k2 / n2) - like(k1, n1, p) - like(k2, n2, p))
 
 
-def learn(texts: DataFrame, text_col: str = "text") -> DataFrame:
+def learn(texts: DataFrame, text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``lang``, ``kind`` (abbreviation, collocation, starter, common), ``word``, ``follower`` (null but for
-    collocations) and ``score``. Null and empty texts add nothing."""
+    collocations) and ``score``, from the words that occur ``least`` times. Null and empty texts add nothing."""
     scratch = Scratch(texts.sparkSession)
     raw = texts.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(_count_batches, _COUNTS)
     counts = scratch.write(raw.groupBy("lang", "word", "follower").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"), F.sum("low").alias("low")), "counts")
     types = counts.where("follower is null").withColumn("all", F.col("n") + F.col("plain"))
     total = types.groupBy("lang").agg(F.sum("all").alias("total"), F.sum("n").alias("periods"))
-    rated = types.join(F.broadcast(total), "lang").where(F.col("all") >= F.col("total") * SHARE)  # a row for each language
+    rated = types.join(F.broadcast(total), "lang").where(F.col("all") >= least)  # a row for each language
 
     dots = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     letters = F.length("word") - dots
@@ -215,8 +223,17 @@ def learn(texts: DataFrame, text_col: str = "text") -> DataFrame:
         .where(F.col("score") >= COLLOCATION)
         .select("lang", F.lit("collocation").alias("kind"), "word", "follower", "score")
     )
+    numbered = (
+        pairs.where(~single & (F.col("follower") == "##") & (F.col("word") != ""))
+        .join(rated.select("lang", "word", F.col("all").alias("first"), F.col("n").alias("stops"), "total"), ["lang", "word"])
+        .join(known.where("word = '##'").select("lang", F.col("all").alias("second")), "lang")
+        .where((F.col("k") > 1) & (F.col("k") >= F.col("stops") * NUMBERED) & (F.col("first") < F.col("total")) & (F.col("k") * F.col("total") > F.col("first") * F.col("second")))
+        .withColumn("score", _ratio("k", "first", "second", "total"))
+        .where(F.col("score") >= COLLOCATION)
+        .select("lang", F.lit("collocation").alias("kind"), "word", "follower", "score")
+    )
     common = rated.where((F.col("low") >= F.col("all") * COMMON) & F.col("word").rlike(r"^\p{Ll}{2}")).select("lang", F.lit("common").alias("kind"), "word", F.lit(None).cast("string").alias("follower"), (F.col("low") / F.col("all")).alias("score"))
-    return scratch.write(abbreviations.union(starters).union(collocations).union(common), "model")
+    return scratch.write(abbreviations.union(starters).union(collocations).union(numbered).union(common), "model")
 
 
 # Signs.
@@ -245,16 +262,15 @@ class Splitter:
         self.lang, self.abbreviations, self.starters, self.collocations, self.common = lang, abbreviations, starters, collocations, common
 
     def _goes_on(self, text: str, m: re.Match, closed: str) -> bool:
-        """Whether the sentence goes on after its quoted part."""
+        """Whether the sentence goes on after its quoted part; the script that follows tells the language."""
         rest = text[m.end() : m.end() + 60]
-        if self.lang == "ja":
-            return rest.startswith(("と", "って", "という", "などと"))
+        if closed and closed[-1] in "」』" and rest.startswith(("と", "って", "という", "などと")):
+            return True
         if not closed or not any(c in "”」』\"»" for c in closed):
             return False
-        if self.lang == "zh":
-            return bool(_SPEECH_ZH.match(rest))
-        pattern = {"hi": _SPEECH_HI, "ar": _SPEECH_AR, "th": _SPEECH_TH}.get(self.lang)
-        return bool(pattern and m.group(0)[0] in "?!؟" and pattern.match(rest))
+        if _SPEECH_ZH.match(rest):
+            return True
+        return m.group(0)[0] in "?!؟" and any(p.match(rest) for p in (_SPEECH_HI, _SPEECH_AR, _SPEECH_TH))
 
     def is_end(self, text: str, m: re.Match, lower_only: bool) -> bool:
         own, mark = m.group("own"), m.group("mark")
@@ -274,6 +290,7 @@ class Splitter:
         glued = not text[end].isspace()
         before = text[max(0, m.start() - 40) : m.start()]
         before = before[max(before.rfind(c) for c in " \n\t\r  　") + 1 :]
+        before = before[max((x.end() for x in _IDEOGRAPHS.finditer(before)), default=0) :]
         kind = _type(before.strip(_EDGE) + ".") if mark == "." else ""
         if glued:
             first = text[end]
@@ -292,8 +309,10 @@ class Splitter:
                     return False
         letter = word[:1]
         if letter.islower() and not lower_only:
-            # names such as mRNA or iPSC begin sentences too
-            if not (mark != "…" and not set(mark) - set(".") and len(mark) == 1 and re.match(r"[a-z]{1,2}[A-Z]{2}", word) and kind not in self.abbreviations):
+            # names such as mRNA or iPSC begin sentences too, and known starters that are no plain words
+            token = text[ahead.start("word") : ahead.start("word") + 40].split(None, 1)[0]
+            odd = re.match(r"[a-z]{1,2}[A-Z]{2}", word) or not token.rstrip(".,;:").isalpha() and _type(token.rstrip(",;:")) in self.starters
+            if not (mark in (".", "!", "?") and odd and kind not in self.abbreviations):
                 return False
         if letter.islower() and set(mark) & set("?!") and any(c in "\"”»“" for c in closed) and not set(text[end : ahead.start("word")]) & set("\"“„«‘"):
             return False  # in a text without capitals: a quote followed by who asked
@@ -305,6 +324,8 @@ class Splitter:
         begins = follower in self.starters or (letter.isupper() and follower in self.common)
         if closed and closed[0] in ")]":
             return bool(letter) and (not letter.isdigit() or True)
+        if letter.isdigit() and (kind, "##") in self.collocations:
+            return False
         if kind == "##" or (len(kind) == 1 and kind.isalpha()):
             if (kind, follower) in self.collocations and follower not in self.starters:
                 return False
@@ -414,7 +435,9 @@ def split(texts: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col:
     pair. Null, empty and blank texts give no rows; null ids are kept; very long texts are split
     whole; empty tables give no rows. Other columns are not read."""
     spark = texts.sparkSession
-    # bounded: each entry has at least SHARE of its language's words
+    entries = model.limit(MOST_ENTRIES + 1).count()
+    if entries > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} learned entries; learn with a greater least")
     sent = spark.sparkContext.broadcast([tuple(r) for r in model.select("lang", "kind", "word", "follower").collect()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

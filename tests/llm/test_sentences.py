@@ -87,3 +87,21 @@ def test_cover_and_odd_texts(spark):
         assert not texts[k][: starts[0]].strip() and all(not texts[k][s].isspace() for s in starts)
     empty = df.limit(0)
     assert S.sentence_units(empty).count() == 0
+
+
+def test_words_before_numbers_and_small_letters_that_begin(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(200):
+        n = rng.randrange(2, 30)
+        rows.append((i, f"Visits ran to Oct. {n}, 2019. No. {n} in the table lists OCT scans. Did it end? No. The panel left. p-tau levels rose by {n}. {rng.choice(['It', 'The', 'We'])} held. No site moved."))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = ["Visits", "No.", "Did", "No.", "The", "p-tau"]
+    for r in S.split(df, S.learn(df)).collect():
+        text = rows[int(r.id)][1]
+        assert [text[s:].split()[0] for s in r.starts][:6] == want
+
+
+def test_mixed_scripts():
+    text = "We stopped.\n\n“够了吗？”评审问道。首先停止。\n\n「足りるのか？」と審査員が尋ねた。Ver. 2.1を公開した。"
+    assert _units(S.Splitter("en", {"ver"}, {"we"}, set()), text) == ["We stopped.", "“够了吗？”评审问道。", "首先停止。", "「足りるのか？」と審査員が尋ねた。", "Ver. 2.1を公開した。"]
