@@ -65,12 +65,40 @@ def author_list(authors: Column, most: int = 3) -> Column:
     return F.when(F.coalesce(F.size(known), F.lit(0)) <= 0, F.lit("Unknown")).otherwise(F.concat(F.array_join(F.slice(known, 1, most), ", "), more))
 
 
+def bare_id(c: Column) -> Column:
+    """An id without its prefix up to the first colon; the whole id without a colon."""
+    return F.regexp_replace(c, r"^[^:]*:", "")
+
+
+def tag_union(a: Column, b: Column) -> Column:
+    """Sorted distinct tags of both; nulls are left out, null arrays count as empty."""
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce(a, none), F.coalesce(b, none))
+    return F.array_sort(F.array_distinct(F.filter(both, lambda t: t.isNotNull())))
+
+
+def landing_url(url: Column, doi: Column) -> Column:
+    """The url; for a null or empty one the DOI's; null without either."""
+    filled = lambda c: F.when(c != "", c)
+    return F.coalesce(filled(url), F.concat(F.lit("https://doi.org/"), filled(doi)))
+
+
+def fixed_digits(c: Column, digits: int = 4) -> Column:
+    """A number with so many digits after the point, no groups; "n/a" for null."""
+    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("n/a")) if digits >= 0 else c.cast("string")
+
+
+def percent(c: Column) -> Column:
+    """A share as a percentage with one digit; "n/a" for null."""
+    return F.coalesce(F.format_string("%.1f%%", c.cast("double") * 100), F.lit("n/a"))
+
+
 def sections_of(c: Column) -> Column:
     """Sections of a text as (pos, heading, body): markdown headings, or listed names followed by a
     colon or glued to a capital, at the start or after a sentence end; else one "Abstract"."""
     names = "|".join(sorted(SECTIONS, key=lambda s: (-len(s), s)))
     md = F.regexp_replace(c, r"(?m)^#{1,6}[ \t]+(.+)$", "\u0001$1\u0002")
-    plain = F.regexp_replace(c, rf"(^|[.!?]\s*|\n)({names})(?::\s*|(?=[A-Z]))", "$1\u0001$2\u0002")
+    plain = F.regexp_replace(c, rf"(^|[.!?]\s*|\n)({names})(?::\s*|([A-Z]))", "$1\u0001$2\u0002$3")
     marked = F.when(F.contains(md, F.lit("\u0001")), md).otherwise(plain)
     parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
     found = F.transform(parts, lambda p, i: F.struct(i.alias("pos"), F.initcap(strip(F.substring_index(p, "\u0002", 1))).alias("heading"), strip(F.substring_index(p, "\u0002", -1)).alias("body")))

@@ -1,22 +1,27 @@
-"""Corpus construction, chunking, golden-set validation, answers and citations."""
+"""Chunking, golden-set validation and extractive answers, and the keys of corpus construction."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import split_sentences, strip
+from folio.functions.text import sections_of, split_sentences, strip
 
 MIN_CHARS = 250
 CHUNK_SIZE, CHUNK_OVERLAP, MIN_CHUNK = 900, 150, 120
+TERM_CHARS = 20_000_000  # of the terms that are sent to executors at once
+# The terms a golden set may use.
 STRATA = ("clinical", "methods", "rag")
 CATEGORIES = ("methodological", "factual", "numeric", "comparative", "definitional", "multi_hop", "bibliographic", "own_work")
 CHALLENGES = ("semantic", "lexical", "both", "none")
 DIFFICULTIES = ("easy", "medium", "hard")
 
 
-def doi_key(c: str = "doi") -> F.Column:
-    bare = F.lower(F.regexp_replace(strip(F.col(c)), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", ""))
+def doi_key(c: str | F.Column = "doi") -> F.Column:
+    bare = F.lower(F.regexp_replace(strip(F.col(c) if isinstance(c, str) else c), r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)", ""))
     return F.when(bare != "", bare)
 
 
@@ -43,39 +48,72 @@ def upper_median(values: DataFrame, value: str) -> DataFrame:
     return upto.where(F.expr("upto > total div 2")).agg(F.min("v").alias("median"))
 
 
-def chunk_sentences(text: F.Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, least: int = MIN_CHUNK) -> F.Column:
-    """Sentences packed greedily into chunks of at most ``size`` (a longer sentence is one of its own),
-    each repeating trailing sentences of up to ``overlap`` characters; a short last one is merged."""
-    zero = F.struct(F.array().cast("array<string>").alias("cur"), F.array().cast("array<string>").alias("done"))
-
-    def width(a: F.Column) -> F.Column:
-        return F.length(F.array_join(a, " "))
-
-    def tail(a: F.Column) -> F.Column:
-        return F.aggregate(F.reverse(a), F.array().cast("array<string>"), lambda t, s: F.when(width(F.concat(F.array(s), t)) <= overlap, F.concat(F.array(s), t)).otherwise(t))
-
-    def step(acc: F.Column, s: F.Column) -> F.Column:
-        cur, done = acc["cur"], acc["done"]
-        fits = (F.size(cur) == 0) | (width(F.concat(cur, F.array(s))) <= size)
-        return F.when(fits, F.struct(F.concat(cur, F.array(s)).alias("cur"), done.alias("done"))).otherwise(F.struct(F.concat(tail(cur), F.array(s)).alias("cur"), F.concat(done, F.array(F.array_join(cur, " "))).alias("done")))
-
-    def finish(acc: F.Column) -> F.Column:
-        last, done = F.array_join(acc["cur"], " "), acc["done"]
-        merged = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat_ws(" ", F.try_element_at(done, F.size(done)), last)))
-        short = (F.length(last) < least) & (F.size(done) > 0)
-        return F.when(F.size(acc["cur"]) == 0, done).when(short, merged).otherwise(F.concat(done, F.array(last)))
-
-    return F.aggregate(split_sentences(text), zero, step, finish)
+def _pieces(sentence: str, size: int) -> Iterator[str]:
+    """A sentence in parts of at most ``size`` characters, cut at the last space before the limit; a run without
+    spaces is cut at the limit."""
+    while len(sentence) > size:
+        at = sentence.rfind(" ", 1, size + 1)
+        at = at if at > 0 else size
+        yield sentence[:at].rstrip()
+        sentence = sentence[at:].lstrip()
+    if sentence:
+        yield sentence
+
+
+def pack_sentences(sentences: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, least: int = MIN_CHUNK) -> list[str]:
+    """Sentences packed greedily into chunks of at most ``size``, each repeating trailing sentences of the chunk before it
+    of up to ``overlap`` characters while that leaves room; a last one of less than ``least`` is merged, so that only it may
+    reach ``size`` + ``least``. A sentence longer than ``size`` is cut first. Linear in the text."""
+    done: list[str] = []
+    cur: list[str] = []
+    width = fresh = 0  # characters of cur, and its sentences that are new
+    for s in (p for x in sentences if x for p in _pieces(x, size)):
+        if fresh and width + 1 + len(s) > size:
+            done.append(" ".join(cur))
+            keep, kept = 0, 0
+            while keep < len(cur) and kept + len(cur[-1 - keep]) + (kept > 0) <= overlap:
+                kept += len(cur[-1 - keep]) + (kept > 0)
+                keep += 1
+            cur = cur[len(cur) - keep :] if keep else []
+            width, fresh = kept, 0
+            while cur and width + 1 + len(s) > size:
+                width -= len(cur.pop(0)) + 1
+            width = max(width, 0) if cur else 0
+        width += len(s) + (1 if cur else 0)
+        cur.append(s)
+        fresh += 1
+    if fresh:
+        last = " ".join(cur)
+        if done and len(" ".join(cur[len(cur) - fresh :])) < least:
+            done[-1] += " " + " ".join(cur[len(cur) - fresh :])
+        else:
+            done.append(last)
+    return done
+
+
+def chunk_documents(papers: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, least: int = MIN_CHUNK) -> DataFrame:
+    """Chunks within sections: doc_id, pos, section, index, header, text. Papers without sections are parsed (headings leave
+    the text); null and blank bodies give none; the header is kept out of the text. Sentences are split in the JVM and
+    packed in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([pack_sentences(x, size, overlap, least) for x in batch.column(4).to_pylist()], pa.list_(pa.string()))], ["doc_id", "title", "pos", "section", "chunks"])
+
+    given = F.transform("sections", lambda s: F.struct(s["pos"].alias("pos"), s["heading"].alias("heading"), s["body"].alias("body")))
+    parts = F.when(F.col("sections").isNull() | (F.size("sections") == 0), sections_of(F.col("text"))).otherwise(given)
+    rows = papers.select("doc_id", "title", F.explode(parts).alias("s")).where("s.body is not null")
+    rows = rows.select("doc_id", "title", F.col("s.pos").alias("pos"), F.col("s.heading").alias("section"), split_sentences(F.col("s.body")).alias("sentences"))
+    cut = rows.mapInArrow(run, "doc_id string, title string, pos int, section string, chunks array<string>")
+    header = F.concat_ws(" > ", "title", "section")
+    return cut.select("doc_id", "pos", "section", header.alias("header"), F.posexplode("chunks").alias("index", "text")).select("doc_id", "pos", "section", "index", "header", "text")
 
 
-def chunk_documents(papers: DataFrame, **sizes: int) -> DataFrame:
-    """Chunks within sections: doc_id, section, index, header, text. Papers without sections are one
-    section "Abstract"; null bodies give none; the header is kept out of the text."""
-    whole = F.array(F.struct(F.lit(0).alias("pos"), F.lit("Abstract").alias("heading"), F.col("text").alias("body")))
-    parts = F.when(F.col("sections").isNull() | (F.size("sections") == 0), whole).otherwise(F.transform("sections", lambda s: F.struct(s["pos"].alias("pos"), s["heading"].alias("heading"), s["body"].alias("body"))))
-    rows = papers.select("doc_id", "title", F.explode(parts).alias("s")).where("s.body is not null")
-    cut = rows.select("doc_id", F.col("s.pos").alias("pos"), F.col("s.heading").alias("section"), F.concat_ws(" > ", "title", "s.heading").alias("header"), F.posexplode(chunk_sentences(F.col("s.body"), **sizes)).alias("index", "text"))
-    return cut.select("doc_id", "pos", "section", "index", "header", "text")
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """One row: n_chunks, n_documents, n_sections, mean, median (upper), min and max characters."""
+    rows = chunks.withColumn("__n", F.length("text"))
+    stats = rows.agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.countDistinct(F.struct("doc_id", "section")).alias("n_sections"), F.round(F.avg("__n"), 6).alias("mean_chars"), F.min("__n").alias("min_chars"), F.max("__n").alias("max_chars"))
+    return stats.crossJoin(upper_median(rows, "__n").withColumnRenamed("median", "median_chars"))  # one row each
 
 
 def golden_errors(golden: DataFrame, papers: DataFrame) -> DataFrame:
@@ -97,12 +135,67 @@ def golden_errors(golden: DataFrame, papers: DataFrame) -> DataFrame:
     return found.union(missing)
 
 
+def term_blocks(terms: list[str]) -> Iterator[list[str]]:
+    """The terms in blocks of at most ``TERM_CHARS`` characters (a longer term is a block of its own)."""
+    block, size = [], 0
+    for t in terms:
+        if block and size + len(t) > TERM_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(t)
+        size += len(t)
+    if block:
+        yield block
+
+
+def occurring(terms: list[str], docs: DataFrame) -> DataFrame:
+    """(doc_id, t, terms): documents with those of the lower-cased ``terms`` that their lower-cased title and text
+    contain. One pass over the texts for each block of terms, by an automaton over all of them where one is installed."""
+    text = docs.select("doc_id", F.lower(F.concat_ws(" ", "title", "text")).alias("t"))
+    found = None
+    for block in term_blocks(sorted(set(terms))):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            try:
+                import ahocorasick
+
+                automaton = ahocorasick.Automaton()
+                for t in block:
+                    if t:
+                        automaton.add_word(t, t)
+                automaton.make_automaton()
+                match = (lambda s: {t for _, t in automaton.iter(s)}) if len(automaton) else (lambda s: set())
+            except ImportError:
+                match = lambda s: {t for t in block if t and t in s}
+            always = {t for t in block if not t}
+            for batch in batches:
+                rows = [sorted(match(s) | always) for s in batch.column(1).to_pylist()]
+                keep = pa.array([bool(r) for r in rows])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "terms"]).filter(keep)
+
+        part = text.mapInArrow(run, "doc_id string, terms array<string>")
+        found = part if found is None else found.union(part)
+    return found if found is not None else docs.sparkSession.createDataFrame([], "doc_id string, terms array<string>")
+
+
 def contained(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, term) of ``terms`` with a document whose lower-cased title and text contain the term. The
-    terms of a golden set are broadcast (hundreds of rows); each document is scanned once."""
-    text = docs.select(F.lower(F.concat_ws(" ", "title", "text")).alias("t"))
-    small = F.broadcast(terms.select("qid", "term").where("term is not null").distinct())
-    return text.join(small, F.contains(F.col("t"), F.lower(F.col("term")))).select("qid", "term").distinct()
+    """(qid, term) of ``terms`` with a document whose lower-cased title and text contain the term; an empty term is in
+    every document. Terms are those of a golden set, sent in blocks of bounded size."""
+    wanted = terms.select("qid", "term", F.lower("term").alias("low")).where("term is not null").distinct()
+    found = occurring([r.low for r in wanted.select("low").distinct().collect()], docs)
+    return wanted.join(found.select(F.explode("terms").alias("low")).distinct(), "low").select("qid", "term")
+
+
+def cooccurrences(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """``groups``: qid, terms. For each group the number of documents that contain all of its terms, and the least
+    doc_id; groups that no document holds have no row. A group with a null term is held by none."""
+    wanted = groups.select("qid", "terms").where(F.coalesce(F.size("terms") > 0, F.lit(False)) & ~F.exists("terms", lambda x: x.isNull())).distinct()
+    low = wanted.withColumn("low", F.array_distinct(F.transform("terms", lambda x: F.lower(x))))
+    docs = docs.select("doc_id", "title", "text").distinct()
+    held = occurring([r.t for r in low.select(F.explode("low").alias("t")).distinct().collect()], docs)
+    flat = held.select("doc_id", F.explode("terms").alias("t"))
+    hits = flat.join(low.select("qid", "terms", F.size("low").alias("need"), F.explode("low").alias("t")), "t").groupBy("qid", "terms", "need", "doc_id").agg(F.countDistinct("t").alias("n")).where("n = need")
+    return hits.groupBy("qid", "terms").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
 
 
 def composition(golden: DataFrame) -> DataFrame:

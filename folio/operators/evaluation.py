@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _Q = ["run_id", "query_id"]
+HEADLINE = ("recall_1", "recall_3", "recall_5", "rr", "ndcg_10", "ap")
 
 
 def gold_edges(golden: DataFrame) -> DataFrame:
@@ -83,9 +84,27 @@ def gate_confidence(signals: DataFrame, gate: DataFrame) -> DataFrame:
     return rows.groupBy(*_Q).agg(F.try_divide(F.sum(z), F.sum(F.when(good, F.col("weight")))).alias("confidence"))
 
 
-def decide(confidence: DataFrame, threshold: float) -> DataFrame:
-    """Refuse below the threshold; without a confidence (no hits) refuse."""
-    return confidence.withColumn("refused", F.coalesce(F.col("confidence") < threshold, F.lit(True)))
+def decide(confidence: DataFrame, threshold: float, active: bool = True, asked: DataFrame | None = None) -> DataFrame:
+    """Refuse below the threshold; an active gate also refuses a question without a confidence, an inactive one (see
+    ``gate_is_active``) refuses nothing. With ``asked`` (the keys of all questions) questions without hits have a row."""
+    rows = confidence if asked is None else asked.select(*_Q).distinct().join(confidence, _Q, "left")
+    return rows.withColumn("refused", F.coalesce(F.col("confidence") < threshold, F.lit(True)) if active else F.lit(False))
+
+
+def gate_is_active(gate: DataFrame) -> bool:
+    """Whether some signal has a mean, a positive std and a positive weight (a table of a few signals)."""
+    return not gate.where("mean is not null and std > 0 and weight > 0").isEmpty()
+
+
+def pooled_stats(signals: DataFrame, names: list[str]) -> DataFrame:
+    """signal, mean, std (of the population) over all questions, answerable or not."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("x")) for n in names])).alias("c")
+    return signals.select(cells).select("c.*").groupBy("signal").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+
+
+def raw_cutoffs(gate: DataFrame, threshold: float) -> DataFrame:
+    """signal, cutoff: the value at which a signal alone would meet the threshold."""
+    return gate.where("std > 0 and mean is not null").select("signal", (F.col("mean") + threshold * F.col("std")).alias("cutoff"))
 
 
 def threshold_curve(labelled: DataFrame, grid: list[float]) -> DataFrame:
@@ -112,6 +131,73 @@ def cohens_d(labelled: DataFrame) -> DataFrame:
     return labelled.agg(F.round(d, 6).alias("cohens_d"))
 
 
+def mark_subsets(selected: DataFrame, most: int = 8) -> DataFrame:
+    """The ``most`` best rows of ``select_signals`` in order, the chosen one marked with an asterisk."""
+    order = Window.orderBy(F.desc("balanced_accuracy"), "size", "signals")  # a row for each subset of a few signals
+    return selected.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).withColumn("mark", F.when(F.col("chosen"), "*").otherwise(""))
+
+
+def arm_metrics(arms: dict[str, DataFrame], golden: DataFrame) -> DataFrame:
+    """``arms``: label to ranked document hits (run_id, query_id, doc_id, doc_rank). One row for each arm and question."""
+    out = None
+    for label, hits in arms.items():
+        rows = retrieval_metrics(hits, golden).withColumn("arm", F.lit(label))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def compare_arms(rows: DataFrame) -> DataFrame:
+    """arm, n, and the means of the headline metrics."""
+    return rows.groupBy("arm").agg(F.count("*").alias("n"), *[F.round(F.avg(m), 6).alias(m) for m in HEADLINE])
+
+
+def paired_arms(rows: DataFrame, first: str, second: str, metric: str = "recall_5", rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """The mean difference ``first`` - ``second`` over questions with its interval and significance; a question's
+    runs are averaged first, and both sides have the same draws."""
+    sides = rows.where(F.col("arm").isin(first, second)).groupBy("query_id").agg(
+        *[F.avg(F.when(F.col("arm") == a, F.col(metric))).alias(n) for a, n in ((first, "x"), (second, "y"))])
+    return paired_bootstrap(sides.where("x is not null and y is not null").select("query_id", (F.col("x") - F.col("y")).alias("v")), "query_id", "v", rounds, seed)
+
+
+def best_arm(means: DataFrame, order: list[str], metric: str = "recall_5") -> DataFrame:
+    """The row with the greatest metric; among equals the first of ``order``."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("arm"))
+    return means.orderBy(F.desc(metric), place).limit(1)
+
+
+def comparison_table(means: DataFrame, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """metric, and a column for each arm (an arm has one row)."""
+    metrics = metrics or HEADLINE
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("c")
+    return means.select("arm", cells).select("arm", "c.*").groupBy("metric").pivot("arm").agg(F.first("value"))
+
+
+def gold_positions(doc_hits: DataFrame, golden: DataFrame) -> DataFrame:
+    """retrieved (document ids in order), gold_ranks (ascending) of each asked question with gold documents."""
+    edges = gold_edges(golden).select(F.col("qid").alias("query_id"), "doc_id", F.lit(True).alias("gold"))
+    asked = doc_hits.join(edges.select("query_id").distinct(), "query_id", "left_semi").join(edges, ["query_id", "doc_id"], "left")
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("doc_rank", "doc_id"))), lambda x: x["doc_id"])
+    return asked.groupBy(*_Q).agg(ranked.alias("retrieved"), F.array_sort(F.collect_list(F.when(F.col("gold"), F.col("doc_rank")))).alias("gold_ranks"))
+
+
+def evaluate(doc_hits: DataFrame, golden: DataFrame, label: str, backends: dict[str, str], decided: DataFrame | None = None, rounds: int = 2000) -> dict[str, DataFrame]:
+    """The small tables of one evaluation: ``rows`` (per question, flat), ``headline`` (means with intervals), ``slices``,
+    ``refusal`` if decisions are given, and ``labels``: what the result was made with, a fallback flagged."""
+    rows = retrieval_metrics(doc_hits, golden).withColumn("label", F.lit(label))
+    headline = None
+    for m in HEADLINE:
+        values = rows.groupBy("query_id").agg(F.avg(m).alias("v"))
+        part = bootstrap(values, "query_id", "v", rounds).select(F.lit(m).alias("metric"), "*")
+        headline = part if headline is None else headline.union(part)
+    made = [(k, v, v in ("lexical", "extractive", "inactive")) for k, v in sorted(backends.items())]
+    out = {"rows": rows, "headline": headline, "slices": slices(rows, golden), "labels": rows.sparkSession.createDataFrame(made, "part string, backend string, fallback boolean")}
+    if decided is not None:
+        from folio.operators.citations import refusal_block
+
+        out["refusal"] = refusal_block(decided, golden)
+    return out
+
+
 def signal_subsets(names: list[str]) -> list[list[str]]:
     return [list(c) for k in range(1, len(names) + 1) for c in combinations(names, k)]
 

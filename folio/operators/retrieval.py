@@ -6,12 +6,80 @@ scoring. Every ranked table carries an explicit rank; ties fall to the lesser id
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import tokens
+from folio.session import materialize
 
 K1, B, RRF_K, DENSE_WEIGHT = 1.5, 0.75, 60, 0.2
+LEXICAL_DIM = 256
+QUERY_VALUES = 8_000_000  # numbers of one block of question vectors, 64 MB
+
+
+def index_text(header: bool) -> Column:
+    """The text that is indexed: with the header before it, or alone."""
+    return F.concat_ws("\n", "header", "text") if header else F.col("text")
+
+
+def chunk_filter(filters: dict | None) -> Column | None:
+    """One condition on chunks from ``strata``, ``sections`` (lists), ``year_min``, ``year_max`` (inclusive; a null year
+    fails) and ``contains`` (a text or a list; all must occur, without regard to case). Keys that are absent, null or
+    empty and unknown keys ask for nothing; without any condition the result is None."""
+    filters = filters or {}
+    found = []
+    for key, column in (("strata", "doc_stratum"), ("sections", "section")):
+        if filters.get(key):
+            found.append(F.col(column).isin(list(filters[key])))
+    if filters.get("year_min") is not None:
+        found.append(F.col("doc_year") >= int(filters["year_min"]))
+    if filters.get("year_max") is not None:
+        found.append(F.col("doc_year") <= int(filters["year_max"]))
+    wanted = filters.get("contains") or []
+    for term in [wanted] if isinstance(wanted, str) else wanted:
+        found.append(F.contains(F.lower("text"), F.lower(F.lit(term))))
+    if not found:
+        return None
+    out = found[0]
+    for c in found[1:]:
+        out = out & c
+    return out
+
+
+def filter_chunks(chunks: DataFrame, filters: dict | None) -> DataFrame:
+    """The chunks that meet the filters; all of them without filters."""
+    condition = chunk_filter(filters)
+    return chunks if condition is None else chunks.where(condition)
+
+
+def encode_lexical(rows: DataFrame, id_col: str, text_col: str, dim: int = LEXICAL_DIM, expand: bool = False) -> DataFrame:
+    """``id_col``, ``embedding``: term counts hashed to ``dim`` places, of unit length; the offline encoder. Texts without
+    terms have none; repeated rows count once."""
+    known: dict[str, int] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for terms in batch.column(1).to_pylist():
+                v = np.zeros(dim)
+                for t in terms:
+                    if t not in known:
+                        if len(known) > 1_000_000:
+                            known.clear()
+                        known[t] = int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim
+                    v[known[t]] += 1
+                out.append((v / np.sqrt(v @ v)).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [id_col, "embedding"])
+
+    once = rows.select(id_col, F.col(text_col).alias("t")).where(F.col(id_col).isNotNull()).distinct()
+    split = once.select(id_col, tokens(F.col("t"), expand).alias("terms")).where(F.size("terms") > 0)
+    kind = rows.schema[id_col].dataType.simpleString()
+    return split.mapInArrow(run, f"{id_col} {kind}, embedding array<double>")
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", expand: bool = False) -> DataFrame:
@@ -41,6 +109,7 @@ def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: s
 def bm25(questions: DataFrame, post: DataFrame, k: int, keep: DataFrame | None = None, qid: str = "qid", text: str = "question", expand: bool = False) -> DataFrame:
     """Top ``k`` chunks of each question: qid, chunk_id, rank, score, matched_terms. ``keep`` (chunk_id)
     restricts the chunks before scoring; the statistics stay those of the whole index."""
+    post = post if hasattr(post, "_folio_path") else materialize(post, "postings")  # read four times below
     stats = index_stats(post)
     asked = questions.select(qid, F.explode(F.array_distinct(tokens(F.col(text), expand))).alias("term")).distinct()
     live = post.join(keep.select("chunk_id").distinct(), "chunk_id", "left_semi") if keep is not None else post
@@ -60,13 +129,58 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact nearest neighbours of a stated query set: (query_id, q) against (vec_id, embedding). The
-    query set is broadcast, so it must be small; every vector is scored once for each query and cut
-    to ``k`` within its partition before the exchange."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("score"))
-    return top_k(scored, k, ["query_id"], tie="vec_id")
+def _nearest(ids: list, unit: np.ndarray, k: int, exclude_same: bool):
+    """A function of Arrow batches (id, embedding): the best ``k`` of each batch for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, v) for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == unit.shape[1]]
+            if not rows:
+                continue
+            matrix = np.array([v for _, v in rows], np.float64)
+            length = np.sqrt((matrix * matrix).sum(axis=1))
+            own = batch.column(0).take(pa.array([i for i, _ in rows]))
+            names = own.to_pylist()
+            order = np.argsort(np.argsort(np.array(names, dtype=object if isinstance(names[0], str) else None), kind="stable"), kind="stable")
+            score = (matrix @ unit.T) / np.where(length > 0, length, np.nan)[:, None]
+            q, at, value = [], [], []
+            for j, name in enumerate(ids):
+                s = np.round(score[:, j], 9)
+                good = np.flatnonzero(~np.isnan(s))
+                if exclude_same:
+                    good = np.array([g for g in good if names[g] != name], np.int64)
+                best = good[np.lexsort((order[good], -s[good]))[:k]]
+                q += [name] * len(best)
+                at += best.tolist()
+                value += score[best, j].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(q, own.type if exclude_same else None), own.take(pa.array(at, pa.int64())), pa.array(value, pa.float64())], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int, exclude_same: bool = True) -> DataFrame:
+    """Exact nearest neighbours of a stated query set: (query_id, q) against (vec_id, embedding), by cosine. Vectors are
+    normalised once and multiplied batch by batch, each batch cut to ``k`` a question before the exchange. The query
+    set is sent in blocks of ``QUERY_VALUES`` numbers, each block reading the vectors once. Null, empty and zero vectors and
+    those of another length have no neighbours; repeated ids of one vector count once."""
+    asked = [(r.query_id, r.q) for r in queries.where("query_id is not null and q is not null").dropDuplicates(["query_id"]).collect()]
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    narrow = vectors.where("vec_id is not null").select("vec_id", "embedding").distinct()
+    by_length: dict[int, list] = {}
+    for name, q in asked:
+        v = np.array(q, np.float64)
+        if len(v) and np.isfinite(v).all() and v @ v > 0:
+            by_length.setdefault(len(v), []).append((name, v / np.sqrt(v @ v)))
+    found = None
+    for length, rows in by_length.items():
+        step = max(1, QUERY_VALUES // length)
+        for at in range(0, len(rows), step):
+            block = rows[at : at + step]
+            part = narrow.mapInArrow(_nearest([n for n, _ in block], np.array([v for _, v in block]), k, exclude_same), kinds)
+            found = part if found is None else found.union(part)
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], kinds)
+    return top_k(found, k, ["query_id"], tie="vec_id")
 
 
 def distinct_hits(hits: DataFrame) -> DataFrame:
@@ -119,6 +233,21 @@ def cap_per_document(ranked: DataFrame, n: int, rank: str = "rank", by: tuple[st
     return kept.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(rank, "chunk_id")))
 
 
+def rerank(ranked: DataFrame, score: Column, first: int = 30, rank: str = "rank", by: tuple[str, ...] = tuple(_Q)) -> DataFrame:
+    """The ``first`` hits of a question in the order of ``score`` (greater first, null ones last), the others after them as
+    they were. ``score`` may be a Pandas UDF; it is asked for the first hits only. Equal scores keep their order, so a
+    constant score changes nothing."""
+    scored = ranked.withColumn("__s", F.when(F.col(rank) <= first, score))
+    order = Window.partitionBy(*by).orderBy((F.col(rank) > first).cast("int"), F.desc_nulls_last("__s"), rank, "chunk_id")
+    return scored.withColumn(rank, F.row_number().over(order)).drop("__s")
+
+
+def trace(ranked: DataFrame, mode: str = "weighted") -> DataFrame:
+    """What a rank rests on: the raw and the scaled channel scores, the terms in common and the score that was used."""
+    used = {"weighted": "fused", "hybrid": "fused", "dense": "dense", "sparse": "sparse"}[mode]
+    return ranked.select(*_Q, "rank", "chunk_id", "doc_id", "dense", "sparse", "dense_norm", "sparse_norm", "fused", "matched_terms", F.lit(used).alias("used"), F.col(used).alias("score_used"))
+
+
 def dedupe_by_document(ranked: DataFrame, rank: str = "rank", by: tuple[str, ...] = tuple(_Q)) -> DataFrame:
     """The first hit of each document, ranks renewed 1..n."""
     first = ranked.groupBy(*by, "doc_id").agg(F.min(rank).alias("__r"))

@@ -12,18 +12,45 @@ from folio.operators import citations as A
 from folio.operators import corpus as C
 from folio.operators import evaluation as E
 from folio.operators import retrieval as R
+from folio.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-#: common table expressions shared by the SQL below
-TOKENS = r"""tok AS (SELECT chunk_id, flatten(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END)) AS t
-    FROM (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL)),
+def sql_tokens(c: str, expand: bool = False) -> str:
+    """``X.tokens`` as SQL: the list of terms of a text."""
+    each = "CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END"
+    out = rf"flatten(list_transform(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+(?:-[\p{{L}}\p{{N}}]+)*'), lambda t: {each}))"
+    if expand:
+        cases = " ".join(f"WHEN '{k}' THEN {[k, *v]}" for k, v in X.ACRONYMS.items())
+        out = f"flatten(list_transform({out}, lambda t: CASE t {cases} ELSE [t] END))"
+    return out
+
+
+def sql_sentences(c: str) -> str:
+    """``X.split_sentences`` as SQL."""
+    for a in X.ABBREVIATIONS:
+        c = f"replace({c}, '{a}', '{a}'.replace('.', chr(2)))".replace(f"'{a}'.replace('.', chr(2))", f"replace('{a}', '.', chr(2))")
+    marked = f"regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace(replace(s, chr(2), '.'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+def sql_words(c: str) -> str:
+    """``A.words_of`` as SQL."""
+    return f"list_distinct(regexp_extract_all(lower(regexp_replace({c}, '\\[[0-9, ]+\\]', ' ', 'g')), '([\\p{{L}}\\p{{N}}]+)', 1))"
+
+
+def sql_index(text: str = "text", expand: bool = False) -> str:
+    """Common table expressions of the index and the asked terms."""
+    return f"""tok AS (SELECT chunk_id, {sql_tokens("text", expand)} AS t FROM (SELECT DISTINCT chunk_id, {text} AS text FROM chunks WHERE chunk_id IS NOT NULL)),
 post AS (SELECT chunk_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT chunk_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT chunk_id, max(dl) AS dl FROM post GROUP BY 1)),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT n FROM st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY 1),
-asked AS (SELECT DISTINCT qid, unnest(flatten(list_transform(regexp_extract_all(lower(question), '[\p{L}\p{N}]+(?:-[\p{L}\p{N}]+)*'), lambda t: CASE WHEN contains(t, '-') THEN list_concat([t], string_split(t, '-')) ELSE [t] END))) AS term FROM golden)"""
+asked AS (SELECT DISTINCT qid, unnest({sql_tokens("question", expand)}) AS term FROM golden)"""
+
+
+TOKENS = sql_index()
 BM25 = """scored AS (SELECT qid, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score, list_sort(list(DISTINCT term)) AS m FROM {post} JOIN asked USING (term) JOIN idf USING (term), st GROUP BY 1, 2),
 top AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM scored)"""
 HITS = "h AS (SELECT run_id, query_id, chunk_id, min(doc_id) AS doc_id, min(rank) AS rank, max(dense) AS dense, max(sparse) AS sparse FROM hits GROUP BY 1, 2, 3)"
@@ -57,7 +84,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _post(s: SparkSession, d: str) -> DataFrame:
-    return R.postings(table(s, d, "chunks"))
+    return materialize(R.postings(table(s, d, "chunks")), "postings")
 
 
 @query(f"WITH {TOKENS}, {BM25.format(post='post')} SELECT qid, chunk_id, round(score, 6) AS score, m AS matched_terms, rank FROM top WHERE rank <= 6")
@@ -247,12 +274,19 @@ def clean_markup(s: SparkSession, d: str) -> DataFrame:
     return _papers(s, d).select("doc_id", F.md5(X.clean_markup(F.col("text"))).alias("h")).distinct()
 
 
-@query()
+@query(f"SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {sql_sentences('text')} AS l FROM papers)")
 def sentence_lists(s: SparkSession, d: str) -> DataFrame:
     return _papers(s, d).select("doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query()
+_NAMES = "|".join(sorted(X.SECTIONS, key=lambda x: (-len(x), x)))
+
+
+@query(rf"""WITH m AS (SELECT doc_id, text, regexp_replace(text, '(?m)^#{{1,6}}[ \t]+(.+)$', chr(1) || '\1' || chr(2), 'g') AS md, regexp_replace(text, '(^|[.!?]\s*|\n)({_NAMES})(?::\s*|([A-Z]))', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') AS plain FROM papers WHERE text IS NOT NULL),
+p AS (SELECT doc_id, text, list_filter(string_split(CASE WHEN contains(md, chr(1)) THEN md ELSE plain END, chr(1)), lambda x: contains(x, chr(2))) AS l FROM m),
+e AS (SELECT doc_id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS x FROM p)
+SELECT doc_id, pos, array_to_string(list_transform(string_split(lower(regexp_replace(string_split(x, chr(2))[1], '^\s+|\s+$', '', 'g')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS heading, regexp_replace(string_split(x, chr(2))[-1], '^\s+|\s+$', '', 'g') AS body FROM e
+UNION ALL SELECT doc_id, 0, 'Abstract', text FROM p WHERE len(l) = 0""")
 def parsed_sections(s: SparkSession, d: str) -> DataFrame:
     return _papers(s, d).select("doc_id", F.explode(X.sections_of(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
@@ -262,10 +296,15 @@ def chunk_documents(s: SparkSession, d: str) -> DataFrame:
     return C.chunk_documents(_papers(s, d))
 
 
-@query("SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents, count(DISTINCT (doc_id, section)) AS n_sections, round(avg(length(text)), 6) AS mean_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars FROM chunks")
+@query("""SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents, count(DISTINCT (doc_id, section)) AS n_sections, round(avg(length(text)), 6) AS mean_chars, CAST(min(length(text)) AS INTEGER) AS min_chars, CAST(max(length(text)) AS INTEGER) AS max_chars,
+(SELECT n[CAST(len(n) // 2 + 1 AS INTEGER)] FROM (SELECT list(CAST(length(text) AS INTEGER) ORDER BY length(text)) AS n FROM chunks WHERE text IS NOT NULL)) AS median_chars FROM chunks""")
 def chunk_stats(s: SparkSession, d: str) -> DataFrame:
-    n = F.length("text")
-    return table(s, d, "chunks").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.countDistinct(F.struct("doc_id", "section")).alias("n_sections"), F.round(F.avg(n), 6).alias("mean_chars"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"))
+    return C.chunk_stats(table(s, d, "chunks"))
+
+
+@query()
+def chunk_stats_of_papers(s: SparkSession, d: str) -> DataFrame:
+    return C.chunk_stats(C.chunk_documents(_papers(s, d).dropDuplicates(["doc_id"])))
 
 
 @query(r"""WITH k AS (SELECT doc_id, coalesce(length(text), 0) AS n, nullif(lower(regexp_replace(regexp_replace(doi, '^\s+|\s+$', '', 'g'), '^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '', 'i')), '') AS d, nullif(lower(regexp_replace(regexp_replace(title, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), '') AS t FROM papers),
@@ -324,11 +363,18 @@ def absent_terms(s: SparkSession, d: str) -> DataFrame:
     return C.contained(table(s, d, "golden").select("qid", F.explode("absent_terms").alias("term")), _papers(s, d))
 
 
-@query("SELECT qid, terms[1] AS first_term, count(*) AS n, min(doc_id) AS doc_id FROM (SELECT qid, unnest(must_not_cooccur) AS terms FROM golden) g JOIN (SELECT DISTINCT doc_id, lower(concat_ws(' ', title, text)) AS t FROM papers) p ON len(list_filter(terms, lambda x: NOT contains(t, lower(x)))) = 0 GROUP BY 1, 2")
+COOCCUR = "SELECT qid, terms, count(*) AS n, min(doc_id) AS doc_id FROM (SELECT DISTINCT * FROM g) g JOIN (SELECT DISTINCT doc_id, title, text, lower(concat_ws(' ', title, text)) AS t FROM papers) p ON len(terms) > 0 AND len(list_filter(terms, lambda x: x IS NULL OR NOT contains(t, lower(x)))) = 0 GROUP BY 1, 2"
+
+
+@query(f"WITH g AS (SELECT qid, unnest(must_not_cooccur) AS terms FROM golden) {COOCCUR}")
 def cooccurrences(s: SparkSession, d: str) -> DataFrame:
-    groups = F.broadcast(table(s, d, "golden").select("qid", F.explode("must_not_cooccur").alias("terms")))  # a few hundred questions
-    docs = _papers(s, d).select("doc_id", F.lower(F.concat_ws(" ", "title", "text")).alias("t")).distinct()
-    return docs.join(groups, F.forall("terms", lambda x: F.contains(F.col("t"), F.lower(x)))).groupBy("qid", F.get("terms", F.lit(0)).alias("first_term")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return C.cooccurrences(table(s, d, "golden").select("qid", F.explode("must_not_cooccur").alias("terms")), _papers(s, d))
+
+
+@query(rf"WITH g AS (SELECT qid, regexp_extract_all(question, '[A-Za-z]+')[1:3] AS terms FROM golden) {COOCCUR}")
+def first_words_cooccur(s: SparkSession, d: str) -> DataFrame:
+    """The same on groups that do occur: the first three words of each question."""
+    return C.cooccurrences(table(s, d, "golden").select("qid", F.slice(F.regexp_extract_all("question", F.lit("([A-Za-z]+)"), 1), 1, 3).alias("terms")), _papers(s, d))
 
 
 @query("SELECT field, value, count(*) AS n FROM (SELECT 'category' AS field, category AS value FROM golden UNION ALL SELECT 'stratum', stratum FROM golden UNION ALL SELECT 'expected', expected FROM golden UNION ALL SELECT 'difficulty', difficulty FROM golden WHERE difficulty IS NOT NULL UNION ALL SELECT 'retrieval_challenge', retrieval_challenge FROM golden WHERE retrieval_challenge IS NOT NULL) GROUP BY 1, 2")
@@ -336,12 +382,28 @@ def golden_composition(s: SparkSession, d: str) -> DataFrame:
     return C.composition(table(s, d, "golden"))
 
 
-@query()
+PASSAGES = "pas AS (SELECT qid, rank, text FROM top JOIN (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1) USING (chunk_id) WHERE rank <= 6)"
+EXTRACTED = f"""{TOKENS}, {BM25.format(post='post')}, {PASSAGES},
+qt AS (SELECT qid, list_distinct({sql_tokens('question')}) AS terms FROM golden),
+sen AS (SELECT qid, rank, unnest(range(len(l))) AS pos, unnest(l) AS s FROM (SELECT qid, rank, {sql_sentences('text')} AS l FROM pas)),
+ov AS (SELECT qid, rank, pos, s, len(list_intersect(list_distinct(regexp_extract_all(lower(s), '([\\p{{L}}\\p{{N}}]+)', 1)), terms)) AS o FROM sen JOIN qt USING (qid)),
+bs AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o DESC, rank, pos) AS n FROM ov WHERE o > 0),
+ans AS (SELECT g.qid, coalesce(a.answer, 'INSUFFICIENT_CONTEXT') AS answer FROM (SELECT DISTINCT qid FROM golden) g LEFT JOIN (SELECT qid, string_agg(s || ' [' || rank || ']', ' ' ORDER BY n) AS answer FROM bs WHERE n <= 3 GROUP BY 1) a USING (qid))"""
+
+
+def _passages(s: SparkSession, d: str) -> DataFrame:
+    hits = R.bm25(table(s, d, "golden"), _post(s, d), 6)
+    return hits.join(table(s, d, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text")), "chunk_id").select("qid", "rank", "text")
+
+
+def _extracted(s: SparkSession, d: str, passages: DataFrame) -> DataFrame:
+    asked = table(s, d, "golden").select("qid", F.array_distinct(X.tokens(F.col("question"))).alias("terms"))
+    return C.extractive_answers(asked, passages)
+
+
+@query(f"WITH {EXTRACTED} SELECT * FROM ans")
 def extractive_answers(s: SparkSession, d: str) -> DataFrame:
-    golden = table(s, d, "golden")
-    asked = golden.select("qid", F.array_distinct(X.tokens(F.col("question"))).alias("terms"))
-    hits = R.bm25(golden, _post(s, d), 6).select("qid", "chunk_id", "rank")
-    return C.extractive_answers(asked, hits.join(table(s, d, "chunks").select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id").select("qid", "rank", "text"))
+    return _extracted(s, d, _passages(s, d))
 
 
 @query("SELECT query_id AS qid, round(avg(CASE WHEN list_contains(gold_doc_ids, h.doc_id) THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS context_precision, count(DISTINCT h.doc_id) AS docs FROM (SELECT DISTINCT query_id, doc_id FROM hits) h JOIN golden ON query_id = qid WHERE len(gold_doc_ids) > 0 GROUP BY 1")
@@ -378,7 +440,9 @@ def fabricated_markers(s: SparkSession, d: str) -> DataFrame:
     return A.resolve_citations(_answers(s, d), table(s, d, "hits"))[1].select("run_id", "query_id", "marker")
 
 
-@query(f"WITH {ANSWERS} SELECT run_id, query_id, 0.75::DOUBLE AS citation_coverage, count(DISTINCT doc_id) AS unique_sources, count(*) FILTER (rk.marker IS NULL) AS fabricated FROM mk LEFT JOIN rk USING (run_id, query_id, marker) GROUP BY 1, 2")
+@query(f"""WITH {ANSWERS} SELECT run_id, query_id, citation_coverage, unique_sources, fabricated, passages_supplied FROM (SELECT run_id, query_id, count(DISTINCT doc_id) AS unique_sources, count(*) FILTER (rk.marker IS NULL) AS fabricated FROM mk LEFT JOIN rk USING (run_id, query_id, marker) GROUP BY 1, 2)
+    JOIN (SELECT run_id, query_id, round(avg(CASE WHEN regexp_matches(x, '\\[[0-9]') THEN 1.0::DOUBLE ELSE 0 END), 6) AS citation_coverage FROM (SELECT run_id, query_id, unnest({sql_sentences('answer')}) AS x FROM a) GROUP BY 1, 2) USING (run_id, query_id)
+    JOIN (SELECT run_id, query_id, count(DISTINCT rank) AS passages_supplied FROM hits GROUP BY 1, 2) USING (run_id, query_id)""")
 def citation_audit(s: SparkSession, d: str) -> DataFrame:
     return A.audit(_answers(s, d), table(s, d, "hits"))
 
@@ -394,7 +458,7 @@ def answer_correctness(s: SparkSession, d: str) -> DataFrame:
     return A.answer_correctness(golden.select("qid", "note"), golden, "note")
 
 
-@query(f"WITH {SIGNALS}, x AS (SELECT coalesce(round(confidence, 6) < -0.325, true) AS r, expected = 'answer' AS a FROM cf JOIN golden ON query_id = qid) SELECT count(*) AS n, count(*) FILTER (r) AS refused, round(avg(CASE WHEN a <> r THEN 1.0::DOUBLE ELSE 0 END), 6) AS refusal_accuracy, count(*) FILTER (NOT a AND NOT r) AS incorrectly_answered, count(*) FILTER (a AND r) AS over_refused FROM x")
+@query(f"WITH {SIGNALS}, x AS (SELECT query_id, coalesce(round(confidence, 6) < -0.325, true) AS r, expected = 'answer' AS a FROM cf JOIN golden ON query_id = qid) SELECT count(*) AS n, count(*) FILTER (r) AS refused, round(avg(CASE WHEN a <> r THEN 1.0::DOUBLE ELSE 0 END), 6) AS refusal_accuracy, count(*) FILTER (NOT a AND NOT r) AS incorrectly_answered, count(*) FILTER (a AND r) AS over_refused, coalesce(list_sort(list(DISTINCT query_id) FILTER (a AND r)), []) AS over_refused_qids FROM x")
 def refusal_block(s: SparkSession, d: str) -> DataFrame:
     return A.refusal_block(E.decide(_confidence(s, d).withColumn("confidence", F.round("confidence", 6)), -0.325), table(s, d, "golden"))
 
@@ -406,11 +470,12 @@ def prompt_assembly(s: SparkSession, d: str) -> DataFrame:
     return A.prompts(golden.select("qid", "question"), hits.select("qid", "rank", "text")).withColumn("prompt", F.md5("prompt"))
 
 
-@query()
+@query(f"""WITH {EXTRACTED}, cl AS (SELECT qid, unnest(range(len(l))) AS pos, unnest(l) AS claim FROM (SELECT qid, {sql_sentences('answer')} AS l FROM ans)),
+cw AS (SELECT qid, pos, claim, {sql_words('claim')} AS w FROM cl), sh AS (SELECT qid, pos, max(claim) AS claim, coalesce(max(len(list_intersect(w, pw)) / len(w)), 0) AS share FROM cw LEFT JOIN (SELECT qid, {sql_words('text')} AS pw FROM pas) USING (qid) WHERE len(w) > 0 GROUP BY 1, 2)
+SELECT qid, round(avg((share >= 0.6)::INTEGER), 6) AS faithfulness, round(1 - avg((share >= 0.6)::INTEGER), 6) AS hallucination, count(*) FILTER (share >= 0.6) AS n_supported, count(*) AS n_sentences, coalesce(list(claim ORDER BY pos) FILTER (share < 0.6), []) AS unsupported FROM sh GROUP BY 1""")
 def faithfulness(s: SparkSession, d: str) -> DataFrame:
-    golden = table(s, d, "golden")
-    hits = R.bm25(golden, _post(s, d), 6).join(table(s, d, "chunks").groupBy("chunk_id").agg(F.min("text").alias("text")), "chunk_id")
-    return A.faithfulness(extractive_answers(s, d), hits.select("qid", "rank", "text"))
+    passages = _passages(s, d)
+    return A.faithfulness(_extracted(s, d, passages), passages)
 
 
 @query()
