@@ -148,3 +148,8 @@ def refusal_block(decided: DataFrame, golden: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count_if(r).alias("refused"), F.round(F.avg((a != r).cast("double")), 6).alias("refusal_accuracy"), F.count_if(~a & ~r).alias("incorrectly_answered"), F.count_if(a & r).alias("over_refused"),
         F.array_sort(F.collect_set(F.when(a & r, F.col("query_id")))).alias("over_refused_qids"),
     )
+
+
+def word_cosine(a: F.Column, b: F.Column) -> F.Column:
+    """Cosine of two arrays of distinct words; null if one is empty. Relevancy of an answer without an encoder."""
+    return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.sqrt(F.size(a)) * F.sqrt(F.size(b)))

@@ -195,7 +195,7 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int = RRF_K) -> DataFrame:
     """Sum of 1 / (k + rank) over the channels in which a chunk has a score."""
     ranked = hits
     for channel in ("dense", "sparse"):
-        order = Window.partitionBy(*_Q).orderBy(F.desc_nulls_last(channel), "chunk_id")
+        order = Window.partitionBy(*_Q).orderBy(F.desc_nulls_last(F.round(channel, 9)), "chunk_id")
         ranked = ranked.withColumn(f"{channel}_rank", F.when(F.col(channel).isNotNull(), F.row_number().over(order)))
     one = lambda c: F.coalesce(1.0 / (k + F.col(f"{c}_rank")), F.lit(0.0))
     fused = ranked.withColumn("fused", one("dense") + one("sparse"))

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from folio.plans.queries import QUERIES, SQL
+from folio.plans.registry import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
