@@ -43,6 +43,14 @@ def split_sentences(c: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\u0001"), lambda s: strip(F.replace(s, F.lit("\u0002"), F.lit(".")))), lambda s: s != "")
 
 
+MARKER = r"\[[0-9]+(?:\s*,\s*[0-9]+)*\]"
+
+
+def claims(c: Column) -> Column:
+    """Sentences of an answer; markers that follow a sentence's stop belong to that sentence."""
+    return split_sentences(F.regexp_replace(c, rf"([.!?])\s+({MARKER}(?:\s*{MARKER})*)", " $2$1"))
+
+
 def tokens(c: Column, expand: bool = False) -> Column:
     """Lower-case terms; hyphenated ones whole and in parts; acronyms with their expansions."""
     words = F.regexp_extract_all(F.lower(c), F.lit(f"({TERM})"), 1)
@@ -85,12 +93,12 @@ def landing_url(url: Column, doi: Column) -> Column:
 
 def fixed_digits(c: Column, digits: int = 4) -> Column:
     """A number with so many digits after the point, no groups; "n/a" for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c.cast("double")), F.lit("n/a")) if digits >= 0 else c.cast("string")
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f", c.cast("double")))
 
 
 def percent(c: Column) -> Column:
     """A share as a percentage with one digit; "n/a" for null."""
-    return F.coalesce(F.format_string("%.1f%%", c.cast("double") * 100), F.lit("n/a"))
+    return F.when(c.isNull(), "n/a").otherwise(F.format_string("%.1f%%", c.cast("double") * 100))
 
 
 def sections_of(c: Column) -> Column:

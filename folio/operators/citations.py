@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import author_list, landing_url, markers, split_sentences
+from folio.functions.text import author_list, claims, landing_url, markers, split_sentences
 
 REFUSAL = "INSUFFICIENT_CONTEXT"
 _Q = ["run_id", "query_id"]
@@ -29,7 +29,7 @@ def resolve_citations(answers: DataFrame, hits: DataFrame) -> tuple[DataFrame, D
 
 def _claims(answers: DataFrame) -> DataFrame:
     """One row for each sentence of an answer: pos, claim."""
-    return answers.select(*_Q, F.posexplode(split_sentences(F.col("answer"))).alias("pos", "claim"))
+    return answers.select(*_Q, F.posexplode(claims(F.col("answer"))).alias("pos", "claim"))
 
 
 def words_of(c: F.Column) -> F.Column:
@@ -61,7 +61,7 @@ def references(citations: DataFrame, papers: DataFrame) -> DataFrame:
 
 def audit(answers: DataFrame, hits: DataFrame) -> DataFrame:
     """citation_coverage (share of sentences with a marker), unique_sources, fabricated, passages_supplied."""
-    parts = answers.select(*_Q, F.explode(split_sentences(F.col("answer"))).alias("s"))
+    parts = answers.select(*_Q, F.explode(claims(F.col("answer"))).alias("s"))
     cover = parts.groupBy(*_Q).agg(F.round(F.avg(F.when(F.col("s").rlike(r"\[[0-9]"), 1.0).otherwise(0.0)), 6).alias("citation_coverage"))
     good, bad = resolve_citations(answers, hits)
     sources = good.groupBy(*_Q).agg(F.countDistinct("doc_id").alias("unique_sources"))
@@ -97,7 +97,7 @@ def answer_correctness(answers: DataFrame, golden: DataFrame, answer: str = "ans
 def supported_claims(answers: DataFrame, passages: DataFrame, least: float = 0.6) -> DataFrame:
     """qid, pos, claim, share, supported: a claim is supported if one passage of the question holds a share of ``least``
     of its words; joined on words, not sentence by passage. Sentences without words are no claims."""
-    said = answers.select("qid", F.posexplode(split_sentences(F.col("answer"))).alias("pos", "claim")).withColumn("w", words_of(F.col("claim"))).where(F.size("w") > 0)
+    said = answers.select("qid", F.posexplode(claims(F.col("answer"))).alias("pos", "claim")).withColumn("w", words_of(F.col("claim"))).where(F.size("w") > 0)
     left = said.select("qid", "pos", F.size("w").alias("n"), F.explode("w").alias("word"))
     right = passages.select("qid", "rank", F.explode(words_of(F.col("text"))).alias("word")).distinct()
     share = left.join(right, ["qid", "word"]).groupBy("qid", "pos", "rank").agg((F.count("*") / F.max("n")).alias("share")).groupBy("qid", "pos").agg(F.max("share").alias("share"))

@@ -10,7 +10,7 @@ from folio.operators import citations as A
 from folio.operators import evaluation as E
 from folio.operators import pipeline as P
 from folio.operators import retrieval as R
-from folio.plans.queries import BM25, SIGNALS, _answers, query, sql_index, sql_sentences, sql_tokens, sql_words, table
+from folio.plans.queries import BM25, SIGNALS, _answers, query, sql_claims, sql_index, sql_sentences, sql_tokens, sql_words, table
 
 HEADED = "concat_ws(chr(10), header, text)"
 INDEX = sql_index(HEADED, True)
@@ -70,9 +70,9 @@ def retrieve_filtered(s: SparkSession, d: str) -> DataFrame:
     return _hits(s, d, "weighted", FILTERS)
 
 
-@query("SELECT DISTINCT chunk_id, section FROM chunks WHERE section IN ('Methods', 'Results') AND doc_year >= 2010 AND contains(lower(text), 'mri')")
+@query("SELECT DISTINCT chunk_id, section FROM chunks WHERE section IN ('Methods', 'Results') AND doc_year >= 2000 AND contains(lower(text), 'scan')")
 def filter_chunks(s: SparkSession, d: str) -> DataFrame:
-    return R.filter_chunks(table(s, d, "chunks"), {"sections": ["Methods", "Results"], "year_min": 2010, "contains": "MRI", "strata": None}).select("chunk_id", "section").distinct()
+    return R.filter_chunks(table(s, d, "chunks"), {"sections": ["Methods", "Results"], "year_min": 2000, "contains": "SCAN", "strata": None}).select("chunk_id", "section").distinct()
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (false) AS n_unknown FROM chunks")
@@ -147,7 +147,7 @@ def refusal_sentinel(s: SparkSession, d: str) -> DataFrame:
 
 
 CITED = f"""a AS (SELECT run_id, query_id, concat('Found ', count(DISTINCT chunk_id), ' passages [1]. The best are near [2, ', 3 + run_id % 4, ']. No source says more. See also [', 9 + run_id % 5, ', 1].') AS answer FROM hits GROUP BY 1, 2),
-cl AS (SELECT run_id, query_id, unnest({sql_sentences('answer')}) AS claim FROM a), mk AS (SELECT run_id, query_id, {sql_words('claim')} AS w, CAST(trim(unnest(string_split(g, ','))) AS INTEGER) AS rank FROM (SELECT run_id, query_id, claim, unnest(regexp_extract_all(claim, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1)) AS g FROM cl)),
+cl AS (SELECT run_id, query_id, unnest({sql_claims('answer')}) AS claim FROM a), mk AS (SELECT run_id, query_id, {sql_words('claim')} AS w, CAST(trim(unnest(string_split(g, ','))) AS INTEGER) AS rank FROM (SELECT run_id, query_id, claim, unnest(regexp_extract_all(claim, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1)) AS g FROM cl)),
 mw AS (SELECT run_id, query_id, rank, list_distinct(flatten(list(w))) AS w FROM mk GROUP BY 1, 2, 3), tx AS (SELECT chunk_id, min(text) AS text FROM chunks GROUP BY 1),
 pa AS (SELECT run_id, query_id, rank, min(ROW(doc_id, text)) AS p FROM hits JOIN tx USING (chunk_id) GROUP BY 1, 2, 3)"""
 

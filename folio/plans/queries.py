@@ -36,6 +36,12 @@ def sql_sentences(c: str) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace(replace(s, chr(2), '.'), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 
 
+def sql_claims(c: str) -> str:
+    """``X.claims`` as SQL."""
+    marker = "\\[[0-9]+(?:\\s*,\\s*[0-9]+)*\\]"
+    return sql_sentences(f"regexp_replace({c}, '([.!?])\\s+({marker}(?:\\s*{marker})*)', ' \\2\\1', 'g')")
+
+
 def sql_words(c: str) -> str:
     """``A.words_of`` as SQL."""
     return f"list_distinct(regexp_extract_all(lower(regexp_replace({c}, '\\[[0-9, ]+\\]', ' ', 'g')), '([\\p{{L}}\\p{{N}}]+)', 1))"
@@ -441,7 +447,7 @@ def fabricated_markers(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ANSWERS} SELECT run_id, query_id, citation_coverage, unique_sources, fabricated, passages_supplied FROM (SELECT run_id, query_id, count(DISTINCT doc_id) AS unique_sources, count(*) FILTER (rk.marker IS NULL) AS fabricated FROM mk LEFT JOIN rk USING (run_id, query_id, marker) GROUP BY 1, 2)
-    JOIN (SELECT run_id, query_id, round(avg(CASE WHEN regexp_matches(x, '\\[[0-9]') THEN 1.0::DOUBLE ELSE 0 END), 6) AS citation_coverage FROM (SELECT run_id, query_id, unnest({sql_sentences('answer')}) AS x FROM a) GROUP BY 1, 2) USING (run_id, query_id)
+    JOIN (SELECT run_id, query_id, round(avg(CASE WHEN regexp_matches(x, '\\[[0-9]') THEN 1.0::DOUBLE ELSE 0 END), 6) AS citation_coverage FROM (SELECT run_id, query_id, unnest({sql_claims('answer')}) AS x FROM a) GROUP BY 1, 2) USING (run_id, query_id)
     JOIN (SELECT run_id, query_id, count(DISTINCT rank) AS passages_supplied FROM hits GROUP BY 1, 2) USING (run_id, query_id)""")
 def citation_audit(s: SparkSession, d: str) -> DataFrame:
     return A.audit(_answers(s, d), table(s, d, "hits"))
@@ -470,7 +476,7 @@ def prompt_assembly(s: SparkSession, d: str) -> DataFrame:
     return A.prompts(golden.select("qid", "question"), hits.select("qid", "rank", "text")).withColumn("prompt", F.md5("prompt"))
 
 
-@query(f"""WITH {EXTRACTED}, cl AS (SELECT qid, unnest(range(len(l))) AS pos, unnest(l) AS claim FROM (SELECT qid, {sql_sentences('answer')} AS l FROM ans)),
+@query(f"""WITH {EXTRACTED}, cl AS (SELECT qid, unnest(range(len(l))) AS pos, unnest(l) AS claim FROM (SELECT qid, {sql_claims('answer')} AS l FROM ans)),
 cw AS (SELECT qid, pos, claim, {sql_words('claim')} AS w FROM cl), sh AS (SELECT qid, pos, max(claim) AS claim, coalesce(max(len(list_intersect(w, pw)) / len(w)), 0) AS share FROM cw LEFT JOIN (SELECT qid, {sql_words('text')} AS pw FROM pas) USING (qid) WHERE len(w) > 0 GROUP BY 1, 2)
 SELECT qid, round(avg((share >= 0.6)::INTEGER), 6) AS faithfulness, round(1 - avg((share >= 0.6)::INTEGER), 6) AS hallucination, count(*) FILTER (share >= 0.6) AS n_supported, count(*) AS n_sentences, coalesce(list(claim ORDER BY pos) FILTER (share < 0.6), []) AS unsupported FROM sh GROUP BY 1""")
 def faithfulness(s: SparkSession, d: str) -> DataFrame:
