@@ -11,9 +11,10 @@ Words are compared after NFKC, case folding, removal of marks, tags and invisibl
 groups are closed, and two parts that make a word of the items only together are put together (broken
 lines, scanned pages). A changed spelling inside a word counts as a changed word.
 
-Scale: one pass over the corpus, no shuffle of texts. Test items are sent to the executors in blocks
-of at most ``BLOCK_ITEMS`` (the stated query set); a larger set takes more passes. Texts are searched
-whole.
+Scale: one pass over the corpus, no shuffle of texts. Test items (the stated query set) are sent to the
+executors, up to ``PASS_CHARS`` of them in one pass; a larger set takes more passes. Within a pass a text is split into
+words once and searched for blocks of items whose table of words has at most ``BLOCK_CELLS`` cells, so a worker's memory
+is bounded. Texts are searched whole.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from folio.llm import words as W
 
 KEPT = 2 / 3  # share of an item's words that a passage must keep, in order
 ADDED = 1 / 8  # isolated added words, as a share of the item's words
-BLOCK_ITEMS = 2_000
-BLOCK_CHARS = 4_000_000
+PASS_CHARS = 20_000_000
+BLOCK_CELLS = 25_000_000  # items x words of a block, 4 bytes each
 
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,80}>")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
@@ -123,13 +124,13 @@ class Items:
             for w, bits in masks.items():
                 self.has[k, w] = bits.bit_count()
             for a, b in pieces(len(item)):
-                by_length.setdefault(b - a, {}).setdefault(self._code(item[a:b]), []).append(k << 16 | a)
+                by_length.setdefault(b - a, {}).setdefault(self._code(item[a:b]), []).append(k << 32 | a)
         self.tables = {}
         for length, table in by_length.items():
             codes = np.array(sorted(table), dtype=np.uint64)
             lists = [table[c] for c in sorted(table)]
             sizes = np.array([len(x) for x in lists])
-            self.tables[length] = (codes, np.array(list(chain.from_iterable(lists))), np.cumsum(sizes) - sizes, sizes)
+            self.tables[length] = (codes, np.array(list(chain.from_iterable(lists)), dtype=np.int64), np.cumsum(sizes) - sizes, sizes)
 
     @staticmethod
     def _code(item: list[int]) -> int:
@@ -148,11 +149,11 @@ class Items:
                 out[i], out[i + 1], gone = whole, -1, True
         return [w for w in out if w >= 0] if gone else out
 
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, str]]:
-        """(place of the text, item id) of every leak."""
+    def search(self, texts: list[list[str]]) -> Iterator[tuple[int, str]]:
+        """(place of the text, item id) of every leak; texts are given by their words."""
         if not self.items:
             return
-        split = [self._places(item_words(t)) for t in texts]
+        split = [self._places(t) for t in texts]
         counts = np.array([len(s) for s in split])
         flat = np.array(list(chain.from_iterable(split)), dtype=np.uint64)
         if not len(flat):
@@ -181,7 +182,7 @@ class Items:
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             who = members[np.repeat(first[rows], n) + inside]
             at = np.repeat(at, n)
-            item, offset = who >> 16, who & 0xFFFF
+            item, offset = who >> 32, who & 0xFFFFFFFF
             good = enough[owner[at], item]
             hits.append(np.stack([owner[at], item, at - starts[owner[at]] - offset], axis=1)[good])
         if not hits:
@@ -213,6 +214,20 @@ class Items:
 _SLICE = 256
 
 
+def blocks_of(rows: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
+    """Items in blocks whose table of items x words stays within ``BLOCK_CELLS`` (an item beyond is a block of its own)."""
+    out, block, words = [], [], 0
+    for row in rows:
+        more = len(row[1]) // 2 + 1  # no text has more words
+        if block and (len(block) + 1) * (words + more) > BLOCK_CELLS:
+            out.append(block)
+            block, words = [], 0
+        block.append(row)
+        words += more
+    return [*out, block] if block else out
+
+
+
 def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "qid", item_text: str = "question") -> DataFrame:
     """Distinct (``id``, ``item``): the corpus documents that hold a passage of a test item.
 
@@ -221,20 +236,21 @@ def find_leaks(corpus: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows. Other columns are not read."""
     spark = corpus.sparkSession
     questions = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    n, chars = questions.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+    chars = questions.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
+    passes = max(1, -(-chars // PASS_CHARS))
     texts = corpus.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     out = None
-    for block in range(blocks):
-        some = questions.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else questions
-        sent = spark.sparkContext.broadcast(sorted((r.i, r.t) for r in some.collect()))
+    for number in range(passes):
+        some = questions.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == number) if passes > 1 else questions
+        sent = spark.sparkContext.broadcast(blocks_of(sorted((r.i, r.t) for r in some.collect())))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block = Items(sent.value)
+            blocks = [Items(rows) for rows in sent.value]
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 for lo in range(0, batch.num_rows, _SLICE):
-                    found = list(block.search(texts.slice(lo, _SLICE).to_pylist()))
+                    split = [item_words(t) for t in texts.slice(lo, _SLICE).to_pylist()]
+                    found = [f for block in blocks for f in block.search(split)]
                     if found:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + d for d, _ in found])), pa.array([q for _, q in found], pa.string())], ["id", "item"])
 

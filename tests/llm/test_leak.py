@@ -101,7 +101,22 @@ def test_cases(spark):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(leak, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(leak, "BLOCK_CELLS", 200)
+    monkeypatch.setattr(leak, "PASS_CHARS", 400)
     items = spark.createDataFrame([(f"q{i}", f"{Q} number {i} of many") for i in range(7)], "qid string, question string")
     docs = spark.createDataFrame([("d", Q + " number 1 of many")], "doc_id string, text string")
     assert leak.find_leaks(docs, items).count() == 7
+
+
+def test_item_of_very_many_words():
+    """Places beyond 65,535 words of an item are told apart."""
+    words = [f"w{i}" for i in range(70_000)]
+    items = leak.Items([("long", " ".join(words)), ("short", "w69990 w69991 w69992 w69993 w69994 w69995")])
+    assert {k for _, k in items.search([words[69_980:]])} == {"short"}
+
+
+def test_blocks_are_bounded(monkeypatch):
+    monkeypatch.setattr(leak, "BLOCK_CELLS", 100)
+    rows = [(f"q{i}", "one two three four") for i in range(20)] + [("big", "word " * 500)]
+    blocks = leak.blocks_of(rows)
+    assert [r for b in blocks for r in b] == rows and len(blocks) > 3 and leak.blocks_of([]) == []
