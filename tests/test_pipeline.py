@@ -136,3 +136,15 @@ def test_latency_and_labels(spark):
     df = spark.createDataFrame([({"a": 1.5, "b": None},), (None,)], "m map<string,double>")
     assert [r.t for r in df.select(P.total_latency(F.col("m")).alias("t")).collect()] == [1.5, None]
     assert "weighted" in P.describe(Config()) and "INSUFFICIENT_CONTEXT" in A.system_prompt()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from folio import cli
+
+    docs = [("a", "Fornix maps", "The fornix shrank in old readers. They rated the maps of the fornix twice. All visits were held.", "rag", 2001), ("b", "Pons", "The pons kept its size in all readers of the second panel.", "clinical", 2010)]
+    io.write_jsonl(spark.createDataFrame(docs, "doc_id string, title string, text string, stratum string, year int"), str(tmp_path / "c"))
+    assert cli.main(["build", str(tmp_path / "c"), str(tmp_path / "i")], spark) == 0
+    assert cli.main(["ask", str(tmp_path / "i"), "Did the fornix shrink?"], spark) == 0 and "fornix" in capsys.readouterr().out
+    assert cli.main(["ask", str(tmp_path / "i"), "xyzzy", "--json"], spark) in (0, 1) and '"qid"' in capsys.readouterr().out
+    assert cli.main(["ask", str(tmp_path / "i"), "Did the fornix shrink?", "--stratum", "none such"], spark) == 1
+    assert cli.main(["nothing"], spark) == 2 and cli.main(["--set", "mode=odd", "ask", str(tmp_path / "i"), "x"], spark) == 1
