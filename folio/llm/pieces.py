@@ -1,7 +1,7 @@
 """Oversized items cut at natural boundaries by recursive bisection.
 
 A span longer than the limit minus the overlap is cut at the strongest boundary of its middle part
-(ties: the one nearest the midpoint) and both halves are treated alike; then every piece but the
+(ties: the one nearest the midpoint; where that part has none, at the one nearest the midpoint anywhere) and both halves are treated alike; then every piece but the
 first is prolonged backwards by up to the overlap, from a boundary where there is one. Boundaries,
 strongest first: blank line, sentence end, line end, clause sign, space; where a span has none, the
 cut falls between characters that belong to no common cluster. Only oversized items reach Python.
@@ -61,6 +61,8 @@ def cut_points(text: str, most: int) -> list[int]:
         near = places[bisect_left(places, lo + max(1, third)) : bisect_right(places, hi - max(1, third))]
         if near:
             at = max(near, key=lambda p: (strength[p], -abs(p - middle), -p))
+        elif outer := [p for p in places[max(0, bisect_left(places, middle) - 1) :][:2] if lo < p < hi]:
+            at = min(outer, key=lambda p: (abs(p - middle), p))  # an unbroken run fills the middle part
         else:
             at = middle
             while at > lo + 1 and at > middle - 64 and _joined(text, at):

@@ -51,3 +51,11 @@ def test_items_and_pieces(spark):
     assert pieces.split_oversized(pieces.items_of(df.limit(0))).count() == 0
     with pytest.raises(ValueError):
         pieces.split_oversized(pieces.items_of(df), 100, 100)
+
+
+def test_unbroken_run_is_kept_whole_where_a_boundary_stands_outside_the_middle():
+    prose, run = "A sentence of some words. " * 9, "0f" * 333
+    assert pieces.cut_points(prose + run, 750) == [0, len(prose)]
+    assert pieces.cut_points(run + " " + prose, 750) == [0, len(run) + 1]
+    cuts = pieces.cut_points("x" * 5000, 750)
+    assert cuts[0] == 0 and max(b - a for a, b in zip(cuts, [*cuts[1:], 5000])) <= 750
