@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Config:
+    # The defaults.
     chunk_size: int = 900
     chunk_overlap: int = 150
     min_chunk_chars: int = 120

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as X
 from folio.operators import build as K
-from folio.plans.queries import query, table
+from folio.plans.queries import _NAMES, query, table
 
 FILLED = "nullif({}, '')"
 KEYED = r"""k AS (SELECT *, coalesce(length(text), 0) AS n, nullif(lower(regexp_replace(regexp_replace(doi, '^\s+|\s+$', '', 'g'), '^(?:https?://(?:dx\.)?doi\.org/|doi:\s*)', '', 'i')), '') AS d, nullif(lower(regexp_replace(regexp_replace(title, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), '') AS t FROM papers),
@@ -79,7 +79,9 @@ def inline_records(s: SparkSession, d: str) -> DataFrame:
     return K.inline_records(_papers(s, d).drop("doc_id")).select("doc_id", "title", "source", "stratum", "topic", F.md5("text").alias("h")).distinct()
 
 
-@query()
+@query(rf"""WITH m AS (SELECT doc_id, sections, text, regexp_replace(text, '(?m)^#{{1,6}}[ \t]+(.+)$', chr(1) || '\1' || chr(2), 'g') AS md, regexp_replace(text, '(^|[.!?]\s*|\n)({_NAMES})(?::\s*|([A-Z]))', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') AS plain FROM papers),
+p AS (SELECT DISTINCT doc_id, CAST(coalesce(len(sections), 0) AS INTEGER) AS n_old, CAST(CASE WHEN text IS NULL THEN 0 ELSE greatest(1, len(list_filter(string_split(CASE WHEN contains(md, chr(1)) THEN md ELSE plain END, chr(1)), lambda x: contains(x, chr(2))))) END AS INTEGER) AS n_new FROM m)
+SELECT *, n_old <> n_new AS changed FROM p""")
 def reparse_sections(s: SparkSession, d: str) -> DataFrame:
     return K.reparse_sections(_papers(s, d)).distinct()
 

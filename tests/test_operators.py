@@ -8,6 +8,7 @@ from folio.operators import evaluation as E
 from folio.operators import retrieval as R
 from folio.sources import io
 
+# Fixed values below: 1 / (60 + rank) for rank fusion, min-max scaling, recall over gold, three of four answer points.
 HIT = "run_id long, query_id string, chunk_id string, doc_id string, rank int, dense double, sparse double"
 
 
