@@ -118,3 +118,29 @@ def test_initials_of_a_hot_surname(spark):
     assert [g for g in given if g[0] != "J" and got[f"{g} Smith"] != got[f"{g[0]}. Smith"]] == []
     assert got["Jonathan Smith"] != got["Jacob Smith"] and got["J. Smith"] in (got["Jonathan Smith"], got["Jacob Smith"])
     assert len({got[f"{g} Smith"] for g in given}) == len(given)
+
+
+def test_no_pair_is_missed_for_its_first_letters(spark):
+    pairs = [("Katherine Corgemevic", "Katherine Ocrgemevic"), ("William H. Wortuthesco", "Bill Wortuthesco"), ("L. Borslman", "L. Torslman"), ("Francisco H. Fentravcek", "Paco Fentravcek")]
+    got = {r.name: r.entity for r in _link(spark, [s for p in pairs for s in p] + _others()).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+
+
+@pytest.mark.parametrize("hot,columns", [(1_500, 4_096), (7, 3)])
+def test_cosine_join_is_exact(spark, monkeypatch, hot, columns):
+    """Each pair once, none left out whatever the masks that names used to have, none below the threshold."""
+    monkeypatch.setattr(names, "HOT", hot)
+    monkeypatch.setattr(names, "COLUMNS", columns)
+    rng = random.Random(5)
+    vectors = {i - 75: sorted({f"g{min(int(rng.expovariate(0.1)), 39)}" for _ in range(rng.randrange(1, 9))}) for i in range(150)}
+    df = spark.createDataFrame([(i, 3 << 2 * (i % 30), g) for i, g in vectors.items()], "node long, mask long, grams array<string>")
+    pairs, vecs = names.cosine_join(df, Scratch(spark), 0.6)
+    v = {r.node: {e.gram: e.w for e in r.vec} for r in vecs.collect()}
+    want = sorted((a, b) for a in v for b in v if a < b and sum(w * v[b].get(g, 0) for g, w in v[a].items()) >= 0.6)
+    assert sorted((r.a, r.b) for r in pairs.collect()) == want
+
+
+def test_contradictions_of_connected_names_count(spark):
+    """R. L. is linked to both; the two given names contradict each other though they share one initial only."""
+    got = {r.name: r.entity for r in _link(spark, ["Rania Horgrulão", "R. L. Horgrulão", "Leila Horgrulão"] + _others()).collect()}
+    assert got["Rania Horgrulão"] != got["Leila Horgrulão"]
